@@ -41,6 +41,15 @@ def documents(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
+#: ASCII capitals to small letters, ASCII punctuation and control characters to spaces.
+FOLD = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32) for c in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Words, lower-cased; ASCII punctuation and white space separate them."""
+    return text.lower().encode("utf-8", "replace").translate(FOLD).split()
+
+
 class Store:
     """Files in the shared folder, from driver or executor. A file is written under a name of its own and then renamed,
     so a task that runs twice leaves one whole file."""

@@ -2,8 +2,37 @@
 
 from __future__ import annotations
 
+from . import decontaminate, secrets, toxicity
 from .common import table
 from .simhash import near_duplicates
+from .token_counts import token_counts
+from .token_output import token_output
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_secret_scan(spark, sf_dir):
+    """Counts, digest and spans of secrets, document by document."""
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark, sf_dir):
+    """Documents and test items that align at 0.8 or more."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_token_output(spark, sf_dir):
+    """Ids of the byte-level tokenizer with end id 0, read back from the shards by the hash index."""
+    return token_output(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end=0)
+
+
+def op8_token_counts(spark, sf_dir):
+    """Counts of the word tokenizer, against a limit of 2048."""
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), limit=2048)
 
 
 def op9_simhash(spark, sf_dir):
@@ -11,6 +40,11 @@ def op9_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, k=4)
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+def op10_toxicity(spark, sf_dir):
+    """Scores from dictionaries trained on the rows that are not held out."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_decontamination, op4_token_output, op8_token_counts, op9_simhash, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
