@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("root").alias("dst"))
     else:
         out = moved.select("dst", "root").union(least.select(F.col("src"), "root")).toDF("src", "dst")
-    return out.filter(F.col("src") != F.col("dst")).distinct()
+    out = out.filter(F.col("src") != F.col("dst"))
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
