@@ -37,7 +37,7 @@ def _bits(*parts: Column) -> Column:
 
 def poisson(u: Column, rate: Column) -> Column:
     """The least k with P(X <= k) > u for a Poisson variable of mean `rate`. Means above 16 are the sum of parts of 16
-    at most, each with a number of its own made from u, so that no probability underflows."""
+    at most, each with a number of its own hashed from u, so that no probability underflows."""
     def one(v: Column, mean: Column) -> Column:
         steps = F.sequence(F.lit(1), (F.lit(30) + 4 * mean).cast("int"))
         start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
@@ -49,8 +49,8 @@ def poisson(u: Column, rate: Column) -> Column:
         return F.aggregate(steps, start, step, lambda a: a["k"])
 
     parts = F.greatest(F.ceil(rate / 16), F.lit(1)).cast("int")
-    fraction = lambda x: x - F.floor(x)
-    several = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + one(fraction(u * (i * 2 - 1) * F.lit(1_000_003.0)), rate / parts))
+    own = lambda i: _bits(u.cast("string"), i.cast("string")) / F.lit(float(1 << 52))
+    several = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda a, i: a + one(own(i), rate / parts))
     return F.when(rate <= 0, 0).when(parts == 1, one(u, rate)).otherwise(several)
 
 

@@ -228,7 +228,10 @@ def read(keys: DataFrame, root: str, starts: dict[int, int], parts: int) -> Data
                     f.seek(16 + width * int(offsets[r]))
                     raw = np.frombuffer(f.read(width * int(counts[r])), f"<u{width}")
                     out.append((None if ids[r] == NULL_KEY else int(ids[r]), starts[shard] + int(offsets[r]), int(counts[r]), zlib.crc32(raw.astype("<u4").tobytes()), shard))
-        return pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "shard"]).astype({"doc_id": "Int64"})
+        own = pd.array([r[0] for r in out], "Int64")  # not through floats, which round large ids
+        rest = pd.DataFrame([r[1:] for r in out], columns=["start", "n_tokens", "ids_crc32", "shard"])
+        rest.insert(0, "doc_id", own)
+        return rest
 
     at = keys.select("key").distinct().withColumn("part", _part("key", parts)).groupBy("part").applyInPandas(find, "shard int, row bigint, rows bigint")
     return at.groupBy("shard").applyInPandas(fetch, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int")
