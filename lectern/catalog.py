@@ -1,5 +1,549 @@
-"""Every query by name, with its oracle SQL."""
+"""Every query by name, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import fixed as X
+from .functions import text as T
+from .operators import lookups as J
+from .operators import structure as H
+from .operators import timing as A
+from .plans import package as K
+from .sources import derived as D
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "flagship"
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "flagship_clips"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return D.table(spark, sf, "documents")
+
+
+def book_lines(spark: SparkSession, sf: str, wild: bool = False) -> DataFrame:
+    return D.lines(D.books(D.table(spark, sf, "conversations"), wild))
+
+
+def book_sql(wild: bool = False) -> str:
+    return f"{D.books_sql(wild)}, {D.lines_sql('books')}"
+
+
+# -- flagship ---------------------------------------------------------------
+
+
+@query(f"""WITH {D.TIMED_SQL}, clips AS (
+  SELECT doc_id, line_no, seg_no, min(begin_ms) AS b, max(end_ms) AS e FROM intervals GROUP BY ALL
+), numbered_clips AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, seg_no) AS n FROM clips)
+SELECT doc_id, count(*) AS n_clips, max(e) AS end_ms, sum(e - b)::BIGINT AS spoken_ms, sum((b % 1000003) * (n % 1009))::BIGINT AS checksum FROM numbered_clips GROUP BY doc_id""")
+def flagship_clips(spark, sf):
+    """Documents to lines, segments, timed words, clips; count, end, spoken time and checksum of each document."""
+    c = A.group_clips(D.timed(spark, sf))
+    return c.groupBy("doc_id").agg(
+        F.count("*").alias("n_clips"), F.max("end_ms").alias("end_ms"), F.sum(F.col("end_ms") - F.col("begin_ms")).alias("spoken_ms"),
+        F.sum((F.col("begin_ms") % 1000003) * (F.col("span_id") % 1009)).cast("bigint").alias("checksum"),
+    )
+
+
+# -- sources ----------------------------------------------------------------
+
+
+@query(f"WITH {D.lines_sql()} SELECT * FROM lines")
+def S01_lines(spark, sf):
+    return D.lines(docs(spark, sf))
+
+
+_META = """meta AS (
+  SELECT conv_id AS book_id, turn::INTEGER AS line_no, CASE turn % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'author' WHEN 2 THEN 'accessMode' WHEN 3 THEN 'note' ELSE 'publisher' END
+    || CASE WHEN turn % 2 = 0 THEN ':' ELSE '：' END || CASE WHEN (conv_id + turn) % 4 = 0 THEN ' ' ELSE ' ' || coalesce(role, '') || ' ' || turn END AS line FROM conversations
+), kv AS (
+  SELECT book_id, line_no, regexp_replace(substr(line, 1, pos - 1), '^[ \\t\\r\\f]+|[ \\t\\r\\f]+$', '', 'g') AS key, regexp_replace(substr(line, pos + 1), '^[ \\t\\r\\f]+|[ \\t\\r\\f]+$', '', 'g') AS value
+  FROM (SELECT *, CASE WHEN instr(line, ':') > 0 THEN instr(line, ':') ELSE instr(line, '：') END AS pos FROM meta) WHERE pos > 0
+)"""
+
+
+@query(f"""WITH {_META}
+SELECT book_id, {', '.join(f"arg_max(value, line_no) FILTER (key = '{k}') AS {v}" for k, v in X.METADATA_KEYS.items())},
+  coalesce(string_agg(key || '=' || value, ';' ORDER BY line_no) FILTER (key IN ({', '.join(repr(k) for k in X.ACCESS_KEYS)})), '') AS accessibility
+FROM kv WHERE value <> '' GROUP BY book_id""")
+def S06_metadata(spark, sf):
+    t = D.table(spark, sf, "conversations")
+    names = F.element_at(F.array(*[F.lit(x) for x in ("title", "author", "accessMode", "note", "publisher")]), (F.col("turn") % 5 + 1).cast("int"))
+    line = F.concat(
+        names, F.when(F.col("turn") % 2 == 0, ":").otherwise("："),
+        F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, " ").otherwise(F.concat(F.lit(" "), F.coalesce("role", F.lit("")), F.lit(" "), F.col("turn").cast("string"))),
+    )
+    return J.metadata(t.select(F.col("conv_id").alias("book_id"), F.col("turn").cast("int").alias("line_no"), line.alias("line")))
+
+
+@query(f"""WITH {book_sql()}, f AS (
+  SELECT *, regexp_extract(line, '^(#{{1,5}})[ \\t]+(.+)$', 1) AS hash, regexp_extract(line, '^(#{{1,5}})[ \\t]+(.+)$', 2) AS title FROM lines
+), s AS (SELECT *, sum((hash <> '')::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM f)
+SELECT doc_id, bool_or(hash <> '') AS has_headings, CASE WHEN bool_or(hash <> '') THEN arg_min(title, line_no) FILTER (hash <> '') ELSE arg_min(line, line_no) END AS title,
+  CASE WHEN bool_or(hash <> '') THEN count(*) FILTER (section_no > 0) ELSE count(*) END AS n_paragraphs FROM s GROUP BY doc_id""")
+def S11_adapter(spark, sf):
+    return H.adapted(book_lines(spark, sf))
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '(\\.[^./]+)$', 1)) AS suffix, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]+$', '') AS stem,
+  lower(regexp_extract(url, '(\\.[^./]+)$', 1)) = '.xml' AS is_xml FROM pages""")
+def S14_suffix(spark, sf):
+    p, url = D.table(spark, sf, "pages"), F.col("url")
+    return p.select("page_id", T.suffix(url).alias("suffix"), T.file_name(url).alias("name"), T.stem(url).alias("stem"), (T.suffix(url) == ".xml").alias("is_xml"))
+
+
+_LANG = "langs(code, epub_lang, tts_engine, tts_voice, sre_lang) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {repr(d) if d else 'NULL'}, '{e}')" for a, b, c, d, e in X.LANGUAGES) + ")"
+
+
+@query(f"WITH {_LANG} SELECT doc_id, code, tts_engine, tts_voice, sre_lang FROM documents JOIN langs ON lang = epub_lang")
+def S15_language(spark, sf):
+    return J.with_language(docs(spark, sf).select("doc_id", "lang"), J.languages(spark)).select("doc_id", "code", "tts_engine", "tts_voice", "sre_lang")
+
+
+@query(f"WITH {_LANG} SELECT lang, count(*) AS n FROM documents WHERE lang NOT IN (SELECT epub_lang FROM langs) GROUP BY lang")
+def S15_language_audit(spark, sf):
+    return J.without_language(docs(spark, sf).select("doc_id", "lang"), J.languages(spark)).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+# -- normalisation ----------------------------------------------------------
+
+
+def _replaced(table: dict[str, str], c: str = "text") -> str:
+    for k, v in table.items():
+        c = f"replace({c}, '{k}', '{v}')"
+    return c
+
+
+def _circled(c: str) -> str:
+    return _replaced({x: str(i + 1) for i, x in enumerate(X.CIRCLED)} | {X.CIRCLED_ZERO: "0"}, c)
+
+
+def _roman(c: str) -> str:
+    return _replaced({x: str(i + 1) for i, x in enumerate(X.ROMAN)}, c)
+
+
+def _all(c: str, with_brackets: bool = True) -> str:
+    c = f"translate({_roman(_circled(c))}, '{X.CIRCLED_LETTERS}{X.FULL_DIGITS}{X.DASHES}', '{X.LETTERS}{X.DIGITS}----')"
+    return f"translate({c}, '{X.BRACKETS}', '{X.PLAIN_BRACKETS}')" if with_brackets else c
+
+
+def _sub(c: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        c = f"regexp_replace({c}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return c
+
+
+def _strip(c: str, image: str, named: str) -> str:
+    return _sub(c, (X.IMAGE, image), (X.UNDERLINE, r"\1"), (X.FRAME, r"\1"), (X.STRONG, r"\1"), (X.SPOKEN, named), (X.RUBY, named), (X.SUB, r"\1"), (X.SUP, r"\1"))
+
+
+def _on_cjk(key, f, sql):
+    @query(f"WITH {D.CJK_SQL} SELECT doc_id, {sql} AS out FROM cjk", name=key)
+    def run(spark, sf):
+        return D.cjk(docs(spark, sf)).select("doc_id", f(F.col("text")).alias("out"))
+
+
+def _on_markup(key, f, sql, name="out"):
+    @query(f"WITH {D.markup_sql()} SELECT doc_id, line_no, {sql} AS {name} FROM markup", name=key)
+    def run(spark, sf):
+        return D.markup(docs(spark, sf)).select("doc_id", "line_no", f(F.col("line")).alias(name))
+
+
+def _on_html(key, f, sql, name="out"):
+    @query(f"WITH {D.PARAGRAPHS_SQL} SELECT page_id, para_no, {sql} AS {name} FROM paras", name=key)
+    def run(spark, sf):
+        return D.paragraphs_html(D.table(spark, sf, "pages")).select("page_id", "para_no", f(F.col("para")).alias(name))
+
+
+_on_cjk("F01_reading", T.to_reading, _replaced(X.READINGS))
+_on_cjk("F02_circled_digits", T.circled_digits, _circled("text"))
+_on_cjk("F03_roman_numerals", T.roman_numerals, _roman("text"))
+_on_cjk("F04_circled_letters", T.circled_letters, f"translate(text, '{X.CIRCLED_LETTERS}', '{X.LETTERS}')")
+_on_cjk("F05_full_digits", T.full_digits, f"translate(text, '{X.FULL_DIGITS}', '{X.DIGITS}')")
+_on_cjk("F06_dashes", T.dashes, f"translate(text, '{X.DASHES}', '----')")
+_on_cjk("F07_brackets", T.brackets, f"translate(text, '{X.BRACKETS}', '{X.PLAIN_BRACKETS}')")
+_on_cjk("F08_normalize_all", T.normalize_all, _all("text"))
+_on_cjk("F20_for_aligner", T.for_aligner, f"replace({_all(_strip('text', chr(92) + '1', chr(92) + '2'), False)}, '-', ' ')")
+_on_markup("F09_normalize_text", T.normalize_text, _all(_replaced(X.READINGS, _strip("line", r"\1", r"\2"))))
+_on_markup("F11_strip_to_reading", T.strip_to_reading, _strip("line", r"\1", r"\2"))
+_on_markup("F12_strip_for_display", T.strip_for_display, _strip("line", "", r"\1"))
+_on_markup("F13_ruby_to_xhtml", T.ruby_to_xhtml, _sub("line", (X.RUBY, r"<ruby><rb>\1</rb><rt>\2</rt></ruby>")))
+_on_markup("F13_ruby_to_reading", T.ruby_to_reading, _sub("line", (X.RUBY, r"\2")))
+_on_markup("F13_strip_ruby", T.strip_ruby, _sub("line", (X.RUBY, r"\1")))
+_RENDER = {"sub": (X.SUB, r"<sub>\1</sub>"), "sup": (X.SUP, r"<sup>\1</sup>"), "strong": (X.STRONG, r"<strong>\1</strong>"), "underline": (X.UNDERLINE, r'<span style="text-decoration: underline;">\1</span>'), "frame": (X.FRAME, rf'<span style="{X.FRAME_STYLE}">\1</span>')}
+for _n, _step in _RENDER.items():
+    _on_markup(f"F14_{_n}", (lambda n: lambda c: T.render_one(c, n))(_n), _sub("line", _step))
+_ESC = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "''": "&#x27;"}
+_FLAT = _sub(_replaced(_ESC, "line"), (X.IMAGE, r'<img src="../images/\2" alt="\1"/>'), _RENDER["underline"], _RENDER["frame"], _RENDER["strong"], (X.RUBY, r"<ruby><rb>\1</rb><rt>\2</rt></ruby>"), (X.SPOKEN, r'<span data-yomi="\2">\1</span>'), _RENDER["sub"], _RENDER["sup"])
+_on_markup("F15_render_flat", T.render_flat, f"replace({_FLAT}, '**', '')")
+_on_markup("F16_title_for_reading", T.title_for_reading, _sub("line", (X.SPOKEN, r"\2")))
+_on_markup("F18_span_reading", lambda c: T.span_reading(T.render_flat(c)), "lower(" + _sub(f"replace({_FLAT}, '**', '')", (r"<ruby><rb>.*?</rb><rt>(.*?)</rt></ruby>", r"\1"), (r'<span data-yomi="([^"]*)">.*?</span>', r"\1"), (r'<img\b[^>]*\balt="([^"]*)"[^>]*/>', r"\1"), (r"<img\b[^>]*/>", ""), (r"<[^>]+>", "")) + ")")
+_on_markup("F19_matching_key", T.matching_key, _sub("line", (X.SKIPPED, "")))
+_on_markup("F21_reading_length", lambda c: F.length(T.normalize_text(c)), f"length({_all(_replaced(X.READINGS, _strip('line', chr(92) + '1', chr(92) + '2')))})::INTEGER", "n")
+_on_html("F10_normalize_xhtml", T.normalize_xhtml, "translate(" + _sub("para", (r"<ruby><rb>.*?</rb><rt>(.*?)</rt></ruby>", r"\1"), (r'<span[^>]*data-yomi="([^"]*)"[^>]*>.*?</span>', r"\1"), (r"<[^>]+>", "")) + f", '{X.BRACKETS}{X.FULL_DIGITS}', '{X.PLAIN_BRACKETS}{X.DIGITS}')")
+_on_html("F17_strip_tags", T.strip_tags, _sub("para", (r"<ruby><rb>(.*?)</rb><rt>.*?</rt></ruby>", r"\1"), (r"<[^>]+>", "")))
+_on_html("F23_escape", T.escape, _replaced(_ESC, "para"))
+_on_markup("P03_unclosed", lambda c: T.unclosed(F.substring(c, F.lit(1), (F.length(c) / 2).cast("int"))), (lambda t: f"(contains({t}, '[') AND NOT contains({t}, ']{{.underline}}') AND NOT contains({t}, ']{{.frame}}')) OR ((length({t}) - length(replace({t}, '**', ''))) // 2) % 2 <> 0 OR (length({t}) - length(replace({t}, '~', ''))) % 2 <> 0 OR (length({t}) - length(replace({t}, '^', ''))) % 2 <> 0")(_sub("substr(line, 1, (length(line) // 2)::INTEGER)", *[(p, "") for p in (X.IMAGE, X.RUBY, X.SPOKEN, X.UNDERLINE, X.FRAME, X.STRONG)])), "open")
+_on_markup("P04_image_only", T.image_only, f"regexp_matches(line, '{X.IMAGE}') AND {_sub(_sub('line', (X.IMAGE, '')), (X.BLANKS, ''))} = ''", "image_only")
+_on_markup("P05_speakable", T.speakable, "regexp_matches(line, '[A-Za-z0-9぀-ゟ゠-ヿ一-鿿]')", "speakable")
+_on_markup("P09_ends_group", T.ends_group, rf"regexp_matches(line, '[{X.ENDS}]$') AND NOT regexp_matches(line, '\{{\.$')", "ends")
+
+
+@query("SELECT page_id, regexp_replace(url, '\\.[^./]+$', '') || '.mp3' AS audio, regexp_replace(url, '\\.[^./]+$', '') || '.TextGrid' AS timing FROM pages")
+def F22_change_suffix(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", T.change_suffix(F.col("url"), ".mp3").alias("audio"), T.change_suffix(F.col("url"), ".TextGrid").alias("timing"))
+
+
+@query(rf"SELECT doc_id, regexp_matches(coalesce(text, ''), '{X.DISPLAY_MATH}') OR regexp_matches(coalesce(text, ''), '{X.INLINE_MATH}') AS has_math FROM documents")
+def P06_math(spark, sf):
+    return docs(spark, sf).select("doc_id", T.has_math(F.coalesce("text", F.lit(""))).alias("has_math"))
+
+
+@query(f"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages WHERE regexp_extract(url, '([^/]*)$', 1) IN ({', '.join(repr(r) for r in X.RESERVED)})")
+def P07_reserved(spark, sf):
+    reserved = spark.createDataFrame([(r,) for r in X.RESERVED], "name string")  # four rows
+    return D.table(spark, sf, "pages").select("page_id", T.file_name(F.col("url")).alias("name")).join(F.broadcast(reserved), "name", "left_semi")
+
+
+# -- structure --------------------------------------------------------------
+
+_HEADS = r"""heads AS (SELECT doc_id, line_no, length(regexp_extract(line, '^(#{1,5})[ \t]+(.+)$', 1))::INTEGER AS level, regexp_replace(regexp_extract(line, '^(#{1,5})[ \t]+(.+)$', 2), '^[ \t\r\f]+|[ \t\r\f]+$', '', 'g') AS title, line FROM lines)"""
+_SECTIONS = f"{_HEADS}, secs AS (SELECT *, (sum((level > 0)::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS section_no FROM heads)"
+_TREE = f"""{_HEADS}, hs AS (SELECT doc_id, level, title, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no))::INTEGER AS h_no FROM heads WHERE level > 0
+), rooted AS (SELECT *, first_value(level) OVER (PARTITION BY doc_id ORDER BY h_no) AS root, min(CASE WHEN h_no > 1 THEN level END) OVER (PARTITION BY doc_id ORDER BY h_no) AS later FROM hs
+), tree AS (SELECT h.doc_id, h_no, level, title, (SELECT max(p.h_no) FROM hs p WHERE p.doc_id = h.doc_id AND p.h_no < h.h_no AND p.level < h.level) AS parent, coalesce(later > root, true) AS kept FROM rooted h)"""
+
+
+@query(f"WITH {book_sql()}, {_HEADS} SELECT doc_id, line_no, level, title FROM heads WHERE level > 0")
+def P01_headings(spark, sf):
+    return H.flagged(book_lines(spark, sf)).filter("level > 0").select("doc_id", "line_no", "level", "title")
+
+
+@query(f"WITH {book_sql(True)}, {_SECTIONS} SELECT doc_id, section_no, (row_number() OVER (PARTITION BY doc_id, section_no ORDER BY line_no) - 1)::INTEGER AS para_no, line AS paragraph FROM secs WHERE level = 0 AND section_no > 0")
+def H01_sections(spark, sf):
+    return H.body(book_lines(spark, sf, True))
+
+
+@query(f"WITH {D.lines_sql()}, {_SECTIONS} SELECT doc_id, line_no, line FROM secs WHERE level = 0 AND section_no = 0")
+def H01_dropped(spark, sf):
+    return H.dropped(D.lines(docs(spark, sf)))
+
+
+def _tree(wild):
+    @query(f"WITH {book_sql(wild)}, {_TREE} SELECT doc_id, h_no, level, title, parent, kept FROM tree", name=f"H02_parents{'_wild' * wild}")
+    def parents(spark, sf):
+        return H.headings(book_lines(spark, sf, wild))
+
+    @query(f"WITH {book_sql(wild)}, {_TREE} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY h_no))::INTEGER AS chapter_no, 'chapter' || row_number() OVER (PARTITION BY doc_id ORDER BY h_no) AS chapter_id, level, title FROM tree WHERE kept", name=f"H03_chapters{'_wild' * wild}")
+    def chapters(spark, sf):
+        return H.chapters(book_lines(spark, sf, wild))
+
+
+_tree(False)
+_tree(True)
+
+
+@query(r"""WITH parts AS (
+  SELECT page_id, (i - 1)::INTEGER AS part_no, el FROM (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?s)(<h[1-6][^>]*>.*?</h[1-6]>|<p[^>]*>.*?</p>)', 1)) AS el, generate_subscripts(regexp_extract_all(coalesce(html, ''), '(?s)(<h[1-6][^>]*>.*?</h[1-6]>|<p[^>]*>.*?</p>)', 1), 1) AS i FROM pages)
+), flagged AS (SELECT *, regexp_matches(el, '^<h[1-6]') AS is_title, sum(regexp_matches(el, '^<h[1-6]')::INTEGER) OVER (PARTITION BY page_id ORDER BY part_no) AS section_no FROM parts)
+SELECT page_id, section_no::BIGINT AS section_no, coalesce(max(CASE WHEN is_title THEN substr(el, 3, 1)::INTEGER END), 0) AS level, coalesce(max(CASE WHEN is_title THEN regexp_replace(el, '<[^>]+>', '', 'g') END), '') AS title, count(*) FILTER (NOT is_title) AS n_paragraphs FROM flagged GROUP BY page_id, section_no""")
+def H04_grouped_sections(spark, sf):
+    """Groups that start at each title; what stands before the first one has level 0."""
+    from pyspark.sql import Window
+
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?s)(<h[1-6][^>]*>.*?</h[1-6]>|<p[^>]*>.*?</p>)"), F.lit(1))
+    p = D.table(spark, sf, "pages").select("page_id", F.posexplode(found).alias("part_no", "el")).withColumn("is_title", F.col("el").rlike("^<h[1-6]"))
+    p = p.withColumn("section_no", F.sum(F.col("is_title").cast("int")).over(Window.partitionBy("page_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, 0)))
+    title = F.when(F.col("is_title"), T.swap(F.col("el"), r"<[^>]+>", ""))
+    level = F.when(F.col("is_title"), F.substring("el", 3, 1).cast("int"))
+    return p.groupBy("page_id", "section_no").agg(F.coalesce(F.max(level), F.lit(0)).alias("level"), F.coalesce(F.max(title), F.lit("")).alias("title"), F.count(F.when(~F.col("is_title"), 1)).alias("n_paragraphs"))
+
+
+@query(f"WITH {D.PARAGRAPHS_SQL} SELECT page_id, para_no, para FROM paras")
+def H05_paragraphs(spark, sf):
+    return D.paragraphs_html(D.table(spark, sf, "pages"))
+
+
+@query(f"WITH {D.lines_sql()}, {D.segments_sql()} SELECT * FROM segments")
+def H06_segments(spark, sf):
+    return D.segments(D.lines(docs(spark, sf)))
+
+
+@query(f"""WITH {book_sql(True)}, marks AS (
+  SELECT *, starts_with(line, '##') AS deep, sum(starts_with(line, '#')::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS piece, sum(starts_with(line, '##')::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS number FROM lines)
+SELECT doc_id, piece::BIGINT AS piece, (CASE WHEN arg_min(deep, line_no) THEN arg_min(number, line_no) ELSE 0 END)::BIGINT AS file_no, count(*) AS n_lines FROM marks WHERE piece > 0 GROUP BY doc_id, piece""")
+def H08_split(spark, sf):
+    return H.split_at_marks(book_lines(spark, sf, True))
+
+
+@query(f"""WITH {D.books_sql()}, raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM books
+), isl AS (SELECT *, NOT regexp_matches(t, '[^ \\t\\r\\f\\n]') AS blank, sum((NOT regexp_matches(t, '[^ \\t\\r\\f\\n]'))::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM raw
+), runs AS (SELECT doc_id, island, string_agg(regexp_replace(t, '{X.BLANKS}', '', 'g'), ' ' ORDER BY i) AS paragraph FROM isl WHERE NOT blank GROUP BY doc_id, island)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1)::INTEGER AS run, paragraph FROM runs""")
+def H09_unwrap(spark, sf):
+    return H.unwrapped(D.books(D.table(spark, sf, "conversations")))
+
+
+@query(f"""WITH {book_sql()}, {_SECTIONS}, said AS (SELECT doc_id, line_no, {_sub(_replaced(X.READINGS, _strip("CASE WHEN level > 0 THEN title ELSE line END", chr(92) + '1', chr(92) + '2')), (X.BLANKS, ''))} AS said FROM secs WHERE section_no > 0)
+SELECT doc_id, string_agg(said, chr(10) ORDER BY line_no) AS reading FROM said WHERE said <> '' GROUP BY doc_id""")
+def K02_reading_text(spark, sf):
+    return H.reading_text(book_lines(spark, sf))
+
+
+# -- alignment --------------------------------------------------------------
+
+
+@query(f"WITH {D.TIMED_SQL} SELECT doc_id, idx, label, begin_ms, end_ms FROM intervals")
+def S08_intervals(spark, sf):
+    return D.timed(spark, sf).select("doc_id", "idx", "label", "begin_ms", "end_ms")
+
+
+@query(f"""WITH {D.TIMED_SQL}, g AS (SELECT doc_id, line_no, seg_no, min(begin_ms) AS begin_ms, max(end_ms) AS end_ms, count(*) AS n_words FROM intervals GROUP BY ALL)
+SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, seg_no))::INTEGER AS span_id FROM g""")
+def A02_group_clips(spark, sf):
+    return A.group_clips(D.timed(spark, sf))
+
+
+_SPANS = f"""{D.TIMED_SQL}, tight AS (SELECT *, length(replace(seg, ' ', '')) AS n FROM segments
+), spans AS (SELECT doc_id, line_no, seg_no, sum(n) OVER w - n AS o0, sum(n) OVER w AS o1 FROM tight WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY seg_no)
+), pairs AS (SELECT i.doc_id, i.line_no, i.idx // 3 AS g, min(i.begin_ms) AS begin_ms, max(i.end_ms) AS end_ms, sum(length(w.word)) AS n FROM intervals i JOIN words w USING (doc_id, line_no, seg_no, word_no) GROUP BY ALL
+), ivs AS (SELECT *, sum(n) OVER w - n AS o0, sum(n) OVER w AS o1 FROM pairs WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY g))"""
+
+
+@query(f"""WITH {_SPANS} SELECT s.doc_id, s.line_no, s.seg_no,
+  min(i.begin_ms + floor(((i.end_ms - i.begin_ms) * (greatest(s.o0, i.o0) - i.o0)) / (i.o1 - i.o0)::DOUBLE)::BIGINT)::BIGINT AS begin_ms,
+  max(i.begin_ms + floor(((i.end_ms - i.begin_ms) * (least(s.o1, i.o1) - i.o0)) / (i.o1 - i.o0)::DOUBLE)::BIGINT)::BIGINT AS end_ms
+FROM spans s JOIN ivs i ON s.doc_id = i.doc_id AND s.line_no = i.line_no AND i.o0 < s.o1 AND i.o1 > s.o0 GROUP BY s.doc_id, s.line_no, s.seg_no""")
+def A03_overlap_clips(spark, sf):
+    """Spans are segments; intervals hold three words each, so most straddle a span."""
+    seg = D.segments(D.lines(docs(spark, sf)))
+    spans = A.offsets(seg, F.length(F.replace("seg", F.lit(" "), F.lit(""))).cast("bigint"), "seg_no")
+    w = D.words(seg)
+    i = D.intervals(w).join(w, ["doc_id", "line_no", "seg_no", "word_no"]).groupBy("doc_id", "line_no", F.expr("idx div 3").alias("g"))
+    i = i.agg(F.min("begin_ms").alias("begin_ms"), F.max("end_ms").alias("end_ms"), F.sum(F.length("word")).alias("n"))
+    return A.overlap_clips(spans, A.offsets(i, F.col("n"), "g"))
+
+
+@query(f"""WITH {D.TIMED_SQL}, f AS (
+  SELECT *, first_value(CASE WHEN label <> '<unk>' THEN label END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_label,
+    sum((label <> '<unk>')::INTEGER) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM intervals)
+SELECT doc_id, idx, next_label, min(idx) OVER (PARTITION BY doc_id, island) AS run_start, max(end_ms) OVER (PARTITION BY doc_id, island) AS run_end_ms FROM f WHERE label = '<unk>'""")
+def A04_unknown_runs(spark, sf):
+    return A.next_known(D.timed(spark, sf))
+
+
+@query(f"""WITH {D.TIMED_SQL}, a AS (
+  SELECT doc_id, line_no, idx, list(label) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS ahead FROM intervals
+), h AS (SELECT a.doc_id, a.idx, list_filter(ahead, lambda x: contains(lower(l.line), x))[1] AS hit FROM a JOIN lines l ON a.doc_id = l.doc_id AND a.line_no = l.line_no)
+SELECT doc_id, idx, hit FROM h WHERE hit IS NOT NULL""")
+def A06_look_ahead(spark, sf):
+    ln = D.lines(docs(spark, sf))
+    return A.look_ahead(D.timed(spark, sf), ln)
+
+
+@query(f"""WITH {D.TIMED_SQL} SELECT doc_id, idx, 's' || lpad(idx::VARCHAR, greatest(4, length(idx::VARCHAR))::INTEGER, '0') AS el_id,
+  (begin_ms // 3600000) || ':' || lpad(((begin_ms % 3600000) // 60000)::VARCHAR, 2, '0') || ':' || lpad(((begin_ms % 60000) // 1000)::VARCHAR, 2, '0') || '.' || lpad((begin_ms % 1000)::VARCHAR, 3, '0') AS clock,
+  (end_ms // 1000) || '.' || lpad((end_ms % 1000)::VARCHAR, 3, '0') AS seconds FROM intervals""")
+def C01_clock(spark, sf):
+    return D.timed(spark, sf).select("doc_id", "idx", T.element_id(F.lit("s"), F.col("idx")).alias("el_id"), T.clock(F.col("begin_ms")).alias("clock"), T.seconds(F.col("end_ms")).alias("seconds"))
+
+
+@query(f"""WITH {D.TIMED_SQL}, g AS (SELECT doc_id, line_no, arg_min(begin_ms, idx) AS begin_ms, arg_max(end_ms, idx) AS end_ms FROM intervals GROUP BY ALL) SELECT *, end_ms - begin_ms AS duration_ms FROM g""")
+def G02_chapter_times(spark, sf):
+    return A.durations(D.timed(spark, sf))
+
+
+@query(f"""WITH {D.TIMED_SQL}, g AS (SELECT doc_id, line_no, max(end_ms) - min(begin_ms) AS d FROM intervals GROUP BY ALL) SELECT doc_id, sum(d)::BIGINT AS duration_ms, count(*) AS n_chapters FROM g GROUP BY doc_id""")
+def G01_book_duration(spark, sf):
+    return A.durations(D.timed(spark, sf)).groupBy("doc_id").agg(F.sum("duration_ms").alias("duration_ms"), F.count("*").alias("n_chapters"))
+
+
+@query(f"""WITH {D.TIMED_SQL}, c AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY abs(idx - 20), idx) AS rank, ((length(label) * greatest(100, 1000 - abs(idx - 20))) // 1000) AS score FROM intervals WHERE idx BETWEEN 0 AND 169)
+SELECT doc_id, arg_max(idx, score * 1000 - rank) AS idx, max(score)::BIGINT AS score FROM c GROUP BY doc_id""")
+def G09_resync_choice(spark, sf):
+    """The best of the cursors from 50 back to 149 ahead of the 20th word, nearer ones first."""
+    from pyspark.sql import Window
+
+    gap = F.abs(F.col("idx") - 20)
+    c = D.timed(spark, sf).filter("idx BETWEEN 0 AND 169").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(gap, "idx")))
+    return A.best_resync(c.withColumn("score", T.distance_score(F.length("label"), gap)))
+
+
+_FLATSEG = r"""flat AS (SELECT doc_id, line_no, (i - 1)::INTEGER AS part, el FROM (
+    SELECT doc_id, line_no, unnest(regexp_extract_all(line, '(\[[^\[\]]+\]\([+-][^)]+\)|[^\[]+|\[)', 1)) AS el, generate_subscripts(regexp_extract_all(line, '(\[[^\[\]]+\]\([+-][^)]+\)|[^\[]+|\[)', 1), 1) AS i FROM markup)
+), sized AS (SELECT doc_id, line_no, part, length(el) AS n, length(regexp_replace(el, '\[([^\[\]]+)\]\([+-]([^)]+)\)', '\2', 'g')) AS r FROM flat)"""
+
+
+@query(f"""WITH {D.markup_sql()}, {_FLATSEG} SELECT doc_id, line_no, part, (sum(n) OVER w - n)::BIGINT AS src_start, (sum(n) OVER w)::BIGINT AS src_end, (sum(r) OVER w - r)::BIGINT AS read_start, (sum(r) OVER w)::BIGINT AS read_end
+FROM sized WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY part)""")
+def A13_offset_map(spark, sf):
+    """Source and reading offsets of a line's parts; ruby and spoken forms are one part each."""
+    from pyspark.sql import Window
+
+    parts = F.regexp_extract_all("line", F.lit(r"(\[[^\[\]]+\]\([+-][^)]+\)|[^\[]+|\[)"), F.lit(1))
+    m = D.markup(docs(spark, sf)).select("doc_id", "line_no", F.posexplode(parts).alias("part", "el"))
+    n, r = F.length("el").cast("bigint"), F.length(T.swap(F.col("el"), r"\[([^\[\]]+)\]\([+-]([^)]+)\)", "$2")).cast("bigint")
+    w = Window.partitionBy("doc_id", "line_no").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    return m.select("doc_id", "line_no", "part", (F.sum(n).over(w) - n).alias("src_start"), F.sum(n).over(w).alias("src_end"), (F.sum(r).over(w) - r).alias("read_start"), F.sum(r).over(w).alias("read_end"))
+
+
+# -- lookups ----------------------------------------------------------------
+
+_NAME = "regexp_extract(url, '([^/]*)$', 1)"
+_NATURAL = f"array_to_string([CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 20, '0') ELSE p END FOR p IN regexp_extract_all(lower({_NAME}), '([0-9]+|[^0-9]+)', 1)], chr(1))"
+
+
+@query(f"""WITH a AS (SELECT page_id, regexp_replace({_NAME}, '\\.[^.]+$', '') AS stem FROM pages WHERE page_id % 2 = 0), b AS (SELECT page_id AS audio_id, regexp_replace({_NAME}, '\\.[^.]+$', '') AS stem FROM pages)
+SELECT stem, page_id, audio_id FROM a JOIN b USING (stem)""")
+def J01_by_stem(spark, sf):
+    """Sources (every other page) with the files of the same stem."""
+    p = D.table(spark, sf, "pages")
+    left = p.filter("page_id % 2 = 0").select("page_id", F.col("url").alias("source"))
+    return J.by_stem(left, p.select(F.col("page_id").alias("audio_id"), F.col("url").alias("audio")), "source", "audio").select("stem", "page_id", "audio_id")
+
+
+@query(f"""WITH refs AS (SELECT page_id, {_NAME} AS ref FROM pages), files AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN 'images/' || {_NAME} ELSE {_NAME} END AS path FROM pages WHERE page_id % 4 <> 1)
+SELECT page_id, ref, coalesce(d.path, f.path) AS found FROM refs LEFT JOIN files d ON ref = d.path LEFT JOIN files f ON 'images/' || ref = f.path""")
+def J05_resolve(spark, sf):
+    p, name = D.table(spark, sf, "pages"), T.file_name(F.col("url"))
+    files = p.filter("page_id % 4 <> 1").select(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("images/"), name)).otherwise(name).alias("path")).distinct()
+    return J.resolve(p.select("page_id", name.alias("ref")), files)
+
+
+_MEDIA = "CASE lower(regexp_extract({0}, '(\\.[^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.MEDIA_TYPES.items()) + f" ELSE '{X.OTHER_MEDIA}' END"
+_ASSET = "'p' || page_id || (['.png', '.JPG', '.svg', '.txt', ''])[(page_id % 5 + 1)::INTEGER]"
+
+
+@query(f"SELECT page_id, {_MEDIA.format(_ASSET)} AS media_type FROM pages")
+def J07_media_type(spark, sf):
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in (".png", ".JPG", ".svg", ".txt", "")]), (F.col("page_id") % 5 + 1).cast("int")))
+    return D.table(spark, sf, "pages").select("page_id", T.media_type(name).alias("media_type"))
+
+
+@query(f"WITH {D.lines_sql()}, {D.segments_sql()}, {D.WORDS_SQL}, w AS (SELECT lower(word) AS word, min(doc_id) AS first_doc, count(*) AS n FROM words GROUP BY 1), known AS (SELECT DISTINCT lower(coalesce(role, '')) AS word FROM conversations UNION SELECT DISTINCT lower(word) FROM words WHERE doc_id % 2 = 0) SELECT w.* FROM w WHERE word NOT IN (SELECT word FROM known)")
+def J08_unregistered(spark, sf):
+    """Words of the corpus that a dictionary (the words of documents with even ids, and the roles) lacks."""
+    w = D.words(D.segments(D.lines(docs(spark, sf)))).withColumn("word", F.lower("word"))
+    known = D.table(spark, sf, "conversations").select(F.lower(F.coalesce("role", F.lit(""))).alias("word")).union(w.filter("doc_id % 2 = 0").select("word")).distinct()
+    return J.unregistered(w.groupBy("word").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), known)
+
+
+@query(f"SELECT page_id, row_number() OVER (ORDER BY {_NATURAL}, page_id) AS place FROM pages")
+def R01_natural_sort(spark, sf):
+    """Places in natural order. Ranges are dealt by the key; ranks within them are shifted by the sizes before."""
+    from pyspark.sql import Window
+
+    p = D.table(spark, sf, "pages").select("page_id", T.natural_key(T.file_name(F.col("url"))).alias("key"))
+    p = p.repartitionByRange("key", "page_id").withColumn("part", F.spark_partition_id())
+    local = p.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("key", "page_id")))
+    sizes = p.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each range
+    return local.join(F.broadcast(before), "part").select("page_id", (F.col("n") + F.coalesce("before", F.lit(0))).alias("place"))
+
+
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) SELECT source, doc_id FROM r WHERE n = 1""")
+def G04_ordered_distinct(spark, sf):
+    """Distinct in order of first use. An aggregate, as only the first row of each group is asked for: no group is gathered."""
+    return docs(spark, sf).groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(f"WITH m AS (SELECT doc_id, text FROM documents), d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{X.DISPLAY_MATH}', 1)) AS tex, true AS display FROM m), i AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(coalesce(text, ''), '{X.DISPLAY_MATH}', '', 'g'), '{X.INLINE_MATH}', 1)) AS tex, false AS display FROM m) SELECT tex, display, count(*) AS uses FROM (SELECT * FROM d UNION ALL SELECT * FROM i) GROUP BY ALL")
+def E01_formulas(spark, sf):
+    """Distinct formulas: those set apart first, then those within a line of what is left."""
+    t = docs(spark, sf).select(F.coalesce("text", F.lit("")).alias("text"))
+    shown = t.select(F.explode(F.regexp_extract_all("text", F.lit(X.DISPLAY_MATH), F.lit(1))).alias("tex"), F.lit(True).alias("display"))
+    within = t.select(F.explode(F.regexp_extract_all(T.swap(F.col("text"), X.DISPLAY_MATH, ""), F.lit(X.INLINE_MATH), F.lit(1))).alias("tex"), F.lit(False).alias("display"))
+    return shown.union(within).groupBy("tex", "display").agg(F.count("*").alias("uses"))
+
+
+@query("SELECT 'p' || (page_id % 7) AS name FROM pages UNION SELECT 'p' || (page_id % 11) FROM pages")
+def U01_union_distinct(spark, sf):
+    p = D.table(spark, sf, "pages")
+    name = lambda k: p.select(F.concat(F.lit("p"), (F.col("page_id") % k).cast("string")).alias("name"))
+    return name(7).union(name(11)).distinct()
+
+
+@query("SELECT 'p' || (page_id % 11) AS name FROM pages EXCEPT SELECT 'p' || (page_id % 7) FROM pages")
+def U03_difference(spark, sf):
+    p = D.table(spark, sf, "pages")
+    name = lambda k: p.select(F.concat(F.lit("p"), (F.col("page_id") % k).cast("string")).alias("name"))
+    return name(11).distinct().join(name(7).distinct(), "name", "left_anti")
+
+
+# -- package ----------------------------------------------------------------
+
+_CHAPTERS = f"{book_sql()}, {_TREE}, chapters AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY h_no))::INTEGER AS chapter_no, 'chapter' || row_number() OVER (PARTITION BY doc_id ORDER BY h_no) AS chapter_id, level, title FROM tree WHERE kept)"
+
+
+def _esc(c: str) -> str:
+    return _replaced(_ESC, c)
+
+
+_CLIPS = f"""{D.TIMED_SQL}, g AS (SELECT doc_id, line_no, seg_no, min(begin_ms) AS b, max(end_ms) AS e FROM intervals GROUP BY ALL
+), clips AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, seg_no)) AS n FROM g), ids AS (SELECT *, 's' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INTEGER, '0') AS el FROM clips)"""
+
+
+@query(f"""WITH {_CLIPS} SELECT doc_id, '<smil xmlns="http://www.w3.org/ns/SMIL" version="3.0"><body>' || string_agg('<par id="par_' || el || '"><text src="text.xhtml#' || el || '"/><audio src="audio.mp3" clipBegin="'
+  || (b // 1000) || '.' || lpad((b % 1000)::VARCHAR, 3, '0') || 's" clipEnd="' || (e // 1000) || '.' || lpad((e % 1000)::VARCHAR, 3, '0') || 's"/></par>', '' ORDER BY n) || '</body></smil>' AS smil FROM ids GROUP BY doc_id""")
+def K05_smil(spark, sf):
+    return K.smil(A.group_clips(D.timed(spark, sf)))
+
+
+@query(f"""WITH {_CHAPTERS} SELECT doc_id, chapter_no, '<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="en" lang="en"><head><title>' || {_esc('title')} || '</title></head><body><h' || greatest(1, least(6, level)) || '>' || {_esc('title')} || '</h' || greatest(1, least(6, level)) || '>' || '<p/>' || '</body></html>' AS xhtml FROM chapters""")
+def K04_chapter_xhtml(spark, sf):
+    c = H.chapters(book_lines(spark, sf))
+    return c.select("doc_id", "chapter_no", K.chapter_xhtml(F.col("title"), F.col("level"), F.lit("<p/>"), F.lit("en")).alias("xhtml"))
+
+
+@query(f"""WITH {_CHAPTERS} SELECT doc_id, '<ol>' || string_agg('<li><a href="' || chapter_id || '.xhtml">' || {_esc(_strip("coalesce(nullif(title, ''), chapter_id)", "", chr(92) + "1"))} || '</a></li>', '' ORDER BY chapter_no) || '</ol>' AS nav FROM chapters GROUP BY doc_id""")
+def K06_nav_flat(spark, sf):
+    return K.nav_flat(H.chapters(book_lines(spark, sf)))
+
+
+@query()
+def K07_nav_nested(spark, sf):
+    return K.nav_nested(H.chapters(book_lines(spark, sf)))
+
+
+_IMAGES = "imgs AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, 't' || turn || CASE WHEN turn % 2 = 0 THEN '.png' ELSE '.gif' END AS name FROM conversations WHERE turn % 3 = 0)"
+
+
+def _images(spark, sf):
+    from pyspark.sql import Window
+
+    t = D.table(spark, sf, "conversations").filter("turn % 3 = 0")
+    name = F.concat(F.lit("t"), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, ".png").otherwise(".gif"))
+    return t.select(F.col("conv_id").alias("doc_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("n"), name.alias("name"))
+
+
+_MANIFEST = f"""{_CHAPTERS}, {_IMAGES}, items AS (
+  SELECT DISTINCT doc_id, 0 AS kind, 0 AS n, '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>' AS item FROM chapters
+  UNION ALL SELECT doc_id, 1, chapter_no, '<item id="' || chapter_id || '" href="' || chapter_id || '.xhtml" media-type="application/xhtml+xml"/>' FROM chapters
+  UNION ALL SELECT doc_id, 2, chapter_no, '<item id="' || chapter_id || '_smil" href="' || chapter_id || '.smil" media-type="application/smil+xml"/>' FROM chapters
+  UNION ALL SELECT doc_id, 3, n::INTEGER, '<item id="img' || n || '" href="images/' || name || '" media-type="' || {_MEDIA.format('name')} || '"/>' FROM imgs)"""
+
+
+@query(f"WITH {_MANIFEST} SELECT doc_id, kind, n, item FROM items")
+def K10_manifest(spark, sf):
+    return K.manifest(H.chapters(book_lines(spark, sf)), _images(spark, sf))
+
+
+@query(f"""WITH {_MANIFEST}, i AS (SELECT doc_id, string_agg(item, '' ORDER BY kind, n) AS items FROM items GROUP BY doc_id), s AS (SELECT doc_id, string_agg('<itemref idref="' || chapter_id || '"/>', '' ORDER BY chapter_no) AS refs FROM chapters GROUP BY doc_id)
+SELECT i.doc_id, '<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata><dc:identifier>' || 'book-' || i.doc_id || '</dc:identifier><dc:title>' || 'conv ' || i.doc_id || '</dc:title>' || '<dc:creator>A &amp; B</dc:creator>'
+  || '<meta property="dcterms:modified">2026-01-01T00:00:00Z</meta></metadata><manifest>' || items || '</manifest><spine>' || refs || '</spine></package>' AS opf FROM i JOIN s USING (doc_id)""")
+def K08_opf(spark, sf):
+    c = H.chapters(book_lines(spark, sf))
+    meta = c.select("doc_id").distinct().select("doc_id", F.concat(F.lit("conv "), F.col("doc_id").cast("string")).alias("title"), K.optional_elements(creator=F.lit("A & B"), publisher=F.lit("")).alias("optional"))
+    return K.opf(c, _images(spark, sf), meta, "2026-01-01T00:00:00Z", F.concat(F.lit("book-"), F.col("doc_id").cast("string")))
