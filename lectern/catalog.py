@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from .functions import fixed as X
 from .functions import text as T
+from .operators import align as L
 from .operators import lookups as J
 from .operators import structure as H
 from .operators import timing as A
 from .plans import package as K
+from .session import ship
 from .sources import derived as D
+from .sources import files as S
+from .sources import sinks as Z
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -547,3 +551,61 @@ def K08_opf(spark, sf):
     c = H.chapters(book_lines(spark, sf))
     meta = c.select("doc_id").distinct().select("doc_id", F.concat(F.lit("conv "), F.col("doc_id").cast("string")).alias("title"), K.optional_elements(creator=F.lit("A & B"), publisher=F.lit("")).alias("optional"))
     return K.opf(c, _images(spark, sf), meta, "2026-01-01T00:00:00Z", F.concat(F.lit("book-"), F.col("doc_id").cast("string")))
+
+
+# -- sequential operators: no SQL says the same; tested against closed forms and worked cases ----
+
+
+def _noisy(spark, sf):
+    """Timed words as a real aligner leaves them: every seventh missing, every thirteenth misheard."""
+    return D.timed(spark, sf).filter("idx % 7 <> 6").withColumn("label", F.when(F.col("idx") % 13 == 12, F.concat(F.lit("zz"), F.col("label"))).otherwise(F.col("label")))
+
+
+@query()
+def A01_align_words(spark, sf):
+    ship(spark)
+    return L.align(D.lines(docs(spark, sf)), _noisy(spark, sf), "word")
+
+
+@query()
+def A02_align_groups(spark, sf):
+    ship(spark)
+    return L.align(D.lines(docs(spark, sf)), _noisy(spark, sf), "punctuation")
+
+
+def _xml(spark, sf) -> DataFrame:
+    """Conversations as XML books: a title for each turn, its lines as paragraphs with an accented word and a reading."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    paras = F.array_join(F.transform(F.split(clean, "\n", -1), lambda x: F.concat(F.lit('<p><ruby yomi="r">b</ruby> <g>'), esc(x), F.lit("</g></p>"))), "")
+    level = (F.col("turn") % 5 + 1).cast("string")
+    part = F.concat(F.lit("<title"), level, F.lit(">"), esc(F.coalesce("role", F.lit(""))), F.lit("</title"), level, F.lit(">"), paras)
+    t = D.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("x")))), lambda s: s["x"]), "").alias("body"))
+    return t.select(F.col("conv_id").cast("string").alias("path"), F.concat(F.lit("<root>"), F.col("body"), F.lit("</root>")).alias("text"))
+
+
+@query()
+def S02_xml_books(spark, sf):
+    ship(spark)
+    return S.read_xml_books(_xml(spark, sf))
+
+
+@query()
+def S08_textgrids(spark, sf):
+    """Timed words written as TextGrids and read again."""
+    ship(spark)
+    i = D.timed(spark, sf)
+    one = F.concat(F.lit('        intervals:\n            xmin = '), T.seconds(F.col("begin_ms")), F.lit("\n            xmax = "), T.seconds(F.col("end_ms")), F.lit('\n            text = "'), F.replace("label", F.lit('"'), F.lit('""')), F.lit('"\n'))
+    g = K.ordered_text(i, "doc_id", "idx", one, "body").join(i.groupBy("doc_id").agg(F.max("end_ms").alias("m"), F.count("*").alias("n")), "doc_id")
+    head = F.concat(F.lit('File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = 0\nxmax = '), T.seconds(F.col("m")), F.lit('\ntiers? <exists>\nsize = 1\nitem []:\n    item [1]:\n        class = "IntervalTier"\n        name = "words"\n        xmin = 0\n        xmax = '), T.seconds(F.col("m")), F.lit("\n        intervals: size = "), F.col("n").cast("string"), F.lit("\n"))
+    return S.read_textgrids(g.select(F.col("doc_id").cast("string").alias("path"), F.concat(head, "body").alias("text")))
+
+
+@query()
+def K11_packages(spark, sf):
+    """A package for each conversation: its chapters, navigation and package document. Name and size of each."""
+    ship(spark)
+    part = lambda df, name, c: df.select(F.col("doc_id").alias("book_id"), name.alias("name"), F.col(c).cast("binary").alias("data"))
+    x = part(K04_chapter_xhtml(spark, sf).withColumn("name", F.concat(F.lit("text/chapter"), F.col("chapter_no").cast("string"), F.lit(".xhtml"))), F.col("name"), "xhtml")
+    members = x.union(part(K06_nav_flat(spark, sf), F.lit("nav.xhtml"), "nav")).union(part(K08_opf(spark, sf), F.lit("content.opf"), "opf"))
+    return Z.packages(members)

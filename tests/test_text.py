@@ -43,7 +43,7 @@ def on(spark, f, *values):
         (T.ends_group, "a]{.", False),
         (T.matching_key, "A b。'c\"(d)", "Abcd"),
         (T.render_flat, 'a **b** <"c\'>', "a <strong>b</strong> &lt;&quot;c&#x27;&gt;"),
-        (T.change_suffix, "dir.d/book.txt", "dir.d/book.mp3"),
+        (lambda c: T.change_suffix(c, ".mp3"), "dir.d/book.txt", "dir.d/book.mp3"),
         (T.media_type, "A.JPG", "image/jpeg"),
         (T.media_type, "a", "application/octet-stream"),
         (T.has_math, "$5 and $10", True),
