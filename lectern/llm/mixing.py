@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
     """source, n_docs, size (characters), rate. Weights are shares in any unit; a source that they leave out has rate 0.
@@ -60,10 +62,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     Null and empty sources are one source; null text has no characters; null ids are hashed as empty. Equal rows have
     equal counts and keys. Rows whose count is 0 do not appear: over a source, the sum of counts follows its target. An
     empty table gives no rows. Names that clash (copy, rate, shuffle_key) are those of the operator in the result. The
-    table of rates is broadcast if Spark finds it small, else joined by a shuffle with a hot source's rows split.
+    table of rates is written first, so that Spark knows its size: it is broadcast if small, else joined by a shuffle in
+    which Spark splits a hot source's rows.
     """
     own = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
-    by = rates(docs, weights, temperature).select(F.col("source").alias("rated"), "rate")
+    by = materialise(rates(docs, weights, temperature).select(F.col("source").alias("rated"), "rate"), "rates")
     row = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"))
     key = F.coalesce(F.col("row.source").cast("string"), F.lit(""))
     bits = _bits(F.lit(str(seed)), key, F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")))
