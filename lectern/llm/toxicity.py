@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained on labelled text: one on ordinary text, one on toxic text. A window is a word with
 blanks around it, set between a head and a tail that both dictionaries hold; its margin is the compressed length under the
-ordinary dictionary less that under the toxic one. A word or part of a word that only toxic text uses is cheaper there.
+ordinary dictionary less that under the toxic one, in hundredths of the word's length. A word or part of a word that only toxic text uses is cheaper there.
 Thresholds on the margins give counts of windows, and a logistic curve over them, fitted on the training rows, gives the
 score. Dictionaries hold whole words: those of ordinary text by frequency, and for toxic text those too, followed by the
 words that it uses more often than chance allows.
@@ -24,7 +24,7 @@ from .common import documents, materialise, words_of
 #: What stands around a window. Both dictionaries hold it, so it costs the same under either; without a tail the
 #: compressor would not look for matches in the last bytes.
 HEAD, TAIL = b"the head of a window known by heart", b"and the tail that closes it, quite as well known"
-STEPS = (3, 4, 5, 6, 7, 8)
+STEPS = (30, 40, 50, 60, 70, 80)
 
 
 class Rules(NamedTuple):
@@ -67,7 +67,7 @@ class Windows:
             need = set(words)
         ordinary, toxic = self.packs
         for w in need:
-            self.margins[w] = len(ordinary(x := HEAD + b" " + w + b" " + TAIL)) - len(toxic(x)) if len(w) > 3 else 0
+            self.margins[w] = 100 * (len(ordinary(x := HEAD + b" " + w + b" " + TAIL)) - len(toxic(x))) // len(w) if len(w) > 3 else 0
         found = np.fromiter(map(self.margins.__getitem__, words), np.int32, len(words))
         return np.array([(found >= s).sum() for s in STEPS])
 
