@@ -609,3 +609,113 @@ def K11_packages(spark, sf):
     x = part(K04_chapter_xhtml(spark, sf).withColumn("name", F.concat(F.lit("text/chapter"), F.col("chapter_no").cast("string"), F.lit(".xhtml"))), F.col("name"), "xhtml")
     members = x.union(part(K06_nav_flat(spark, sf), F.lit("nav.xhtml"), "nav")).union(part(K08_opf(spark, sf), F.lit("content.opf"), "opf"))
     return Z.packages(members)
+
+
+# -- more sources, lookups and strings ---------------------------------------
+
+
+@query(f"""WITH {book_sql()}, {_SECTIONS}, any_h AS (SELECT doc_id, bool_or(level > 0) AS h, min(line_no) FILTER (level > 0) AS first_h, min(line_no) AS first FROM secs GROUP BY doc_id)
+SELECT s.doc_id, s.line_no, CASE WHEN s.level > 0 THEN title ELSE line END AS paragraph FROM secs s JOIN any_h a USING (doc_id) WHERE CASE WHEN h THEN section_no > 0 AND line_no <> first_h ELSE line_no <> first END""")
+def S12_body_paragraphs(spark, sf):
+    """Without headings all lines but the first; with headings all from the first one on but itself."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id")
+    s = H.sections_of_lines(book_lines(spark, sf))
+    s = s.withColumn("h", F.max((F.col("level") > 0).cast("int")).over(w)).withColumn("first_h", F.min(F.when(F.col("level") > 0, F.col("line_no"))).over(w)).withColumn("first", F.min("line_no").over(w))
+    keep = F.when(F.col("h") == 1, (F.col("section_no") > 0) & (F.col("line_no") != F.col("first_h"))).otherwise(F.col("line_no") != F.col("first"))
+    return s.filter(keep).select("doc_id", "line_no", F.when(F.col("level") > 0, F.col("title")).otherwise(F.col("line")).alias("paragraph"))
+
+
+@query(r"""SELECT page_id, regexp_replace(url, '\.[^./]+$', '') || '_metadata.txt' AS file_sidecar, regexp_replace(regexp_extract(url, '^(.*)/[^/]*$', 1), '/+$', '') || '_metadata.txt' AS folder_sidecar FROM pages""")
+def S05_sidecars(spark, sf):
+    url = F.col("url")
+    folder = F.regexp_extract(url, r"^(.*)/[^/]*$", 1)
+    return D.table(spark, sf, "pages").select("page_id", S.metadata_path(url).alias("file_sidecar"), S.metadata_path(folder, True).alias("folder_sidecar"))
+
+
+@query("""WITH books AS (SELECT DISTINCT conv_id AS book_id FROM conversations), titles AS (SELECT DISTINCT conv_id AS book_id FROM conversations WHERE turn % 2 = 1 AND (conv_id + turn) % 4 <> 0)
+SELECT book_id, 'title missing' AS fault FROM books WHERE book_id NOT IN (SELECT book_id FROM titles)""")
+def S07_metadata_audit(spark, sf):
+    """Books whose metadata hold no title (here: no odd turn whose value is there)."""
+    t = D.table(spark, sf, "conversations")
+    line = F.concat(F.lit("title:"), F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, " ").otherwise("x"))
+    meta = J.metadata(t.filter("turn % 2 = 1").select(F.col("conv_id").alias("book_id"), F.col("turn").cast("int").alias("line_no"), line.alias("line")))
+    books = t.select(F.col("conv_id").alias("book_id")).distinct()
+    return books.join(meta.filter("title IS NOT NULL").select("book_id"), "book_id", "left_anti").withColumn("fault", F.lit("title missing"))
+
+
+@query(f"SELECT doc_id, {_replaced(X.READINGS, _strip('coalesce(text, chr(0))', chr(92) + '1', chr(92) + '2'))} AS reading FROM documents WHERE text IS NOT NULL")
+def K01_reading_file(spark, sf):
+    """A whole text as it is read aloud, lines as they are."""
+    return docs(spark, sf).filter("text IS NOT NULL").select("doc_id", T.to_reading(T.strip_to_reading(F.col("text"))).alias("reading"))
+
+
+@query(f"""WITH found AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{X.INLINE_MATH}', 1)) AS tex FROM documents), speech AS (SELECT DISTINCT tex, 'formula of ' || length(tex) AS speech FROM found WHERE length(tex) % 2 = 0)
+SELECT doc_id, tex, coalesce(speech, '') AS speech, count(*) AS uses FROM found LEFT JOIN speech USING (tex) GROUP BY ALL""")
+def J04_formula_speech(spark, sf):
+    """Formulas with their speech; those that the converter gave none have an empty one."""
+    t = docs(spark, sf).select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(X.INLINE_MATH), F.lit(1))).alias("tex"))
+    speech = t.select("tex").distinct().filter(F.length("tex") % 2 == 0).withColumn("speech", F.concat(F.lit("formula of "), F.length("tex").cast("string")))
+    return t.join(speech, "tex", "left").groupBy("doc_id", "tex", F.coalesce("speech", F.lit("")).alias("speech")).agg(F.count("*").alias("uses"))
+
+
+@query(f"WITH {_LANG} SELECT doc_id, coalesce(sre_lang, 'en') AS speech_lang FROM documents LEFT JOIN langs ON lang = epub_lang")
+def J09_speech_language(spark, sf):
+    configs = J.languages(spark).select("epub_lang", "sre_lang")
+    d = docs(spark, sf).select("doc_id", "lang").join(F.broadcast(configs), F.col("lang") == F.col("epub_lang"), "left")
+    return d.select("doc_id", F.coalesce("sre_lang", F.lit("en")).alias("speech_lang"))
+
+
+@query(rf"SELECT page_id, regexp_replace({_NAME}, '\.[^.]+$', '') || '_punctuation_20260101_000000.epub' AS out FROM pages")
+def C05_output_name(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", F.concat(T.stem(F.col("url")), F.lit("_punctuation_20260101_000000.epub")).alias("out"))
+
+
+@query(rf"""WITH {D.markup_sql()}, refs AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{X.IMAGE}', 2)) AS ref FROM markup), named AS (SELECT *, regexp_extract(ref, '([^/]*)$', 1) AS name FROM refs)
+SELECT doc_id, name, min(line_no) AS line_no, {_MEDIA.format('name')} AS media_type FROM named GROUP BY doc_id, name""")
+def C11_image_references(spark, sf):
+    """Images that each document uses, once each, by their first use."""
+    m = D.markup(docs(spark, sf)).select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(X.IMAGE), F.lit(2))).alias("ref"))
+    g = m.withColumn("name", T.file_name(F.col("ref"))).groupBy("doc_id", "name").agg(F.min("line_no").alias("line_no"))
+    return g.withColumn("media_type", T.media_type(F.col("name")))
+
+
+@query(f"""WITH {D.PARAGRAPHS_SQL}, tok AS (SELECT page_id, para_no, unnest(regexp_extract_all(para, '(<[^>]+>|[^<]+|<)', 1)) AS el, generate_subscripts(regexp_extract_all(para, '(<[^>]+>|[^<]+|<)', 1), 1) AS i FROM paras
+), sized AS (SELECT *, length(el) AS n, CASE WHEN regexp_matches(el, '^<[^>]+>$') THEN 0 ELSE length(el) END AS r FROM tok)
+SELECT page_id, para_no, (i - 1)::INTEGER AS part, (sum(n) OVER w - n)::BIGINT AS src_start, (sum(n) OVER w)::BIGINT AS src_end, (sum(r) OVER w - r)::BIGINT AS read_start, (sum(r) OVER w)::BIGINT AS read_end FROM sized WINDOW w AS (PARTITION BY page_id, para_no ORDER BY i)""")
+def A15_xhtml_offset_map(spark, sf):
+    """Source and reading offsets of tags and texts; tags have no width in the reading."""
+    from pyspark.sql import Window
+
+    p = D.paragraphs_html(D.table(spark, sf, "pages"))
+    t = p.select("page_id", "para_no", F.posexplode(F.regexp_extract_all("para", F.lit("(<[^>]+>|[^<]+|<)"), F.lit(1))).alias("part", "el"))
+    n = F.length("el").cast("bigint")
+    r = F.when(F.col("el").rlike("^<[^>]+>$"), F.lit(0)).otherwise(n).cast("bigint")
+    w = Window.partitionBy("page_id", "para_no").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    return t.select("page_id", "para_no", "part", (F.sum(n).over(w) - n).alias("src_start"), F.sum(n).over(w).alias("src_end"), (F.sum(r).over(w) - r).alias("read_start"), F.sum(r).over(w).alias("read_end"))
+
+
+@query(f"""WITH {D.PARAGRAPHS_SQL}, tok AS (SELECT page_id, para_no, unnest(regexp_extract_all(para, '</?([a-z0-9]+)[^>]*>', 0)) AS el FROM paras)
+SELECT page_id, para_no, count(*) FILTER (NOT starts_with(el, '</') AND NOT ends_with(el, '/>')) AS opened, count(*) FILTER (starts_with(el, '</')) AS closed FROM tok GROUP BY ALL""")
+def A16_tag_balance(spark, sf):
+    p = D.paragraphs_html(D.table(spark, sf, "pages"))
+    t = p.select("page_id", "para_no", F.explode(F.regexp_extract_all("para", F.lit("</?([a-z0-9]+)[^>]*>"), F.lit(0))).alias("el"))
+    close = F.col("el").startswith("</")
+    return t.groupBy("page_id", "para_no").agg(F.count(F.when(~close & ~F.col("el").endswith("/>"), 1)).alias("opened"), F.count(F.when(close, 1)).alias("closed"))
+
+
+@query(f"WITH {D.lines_sql()}, {D.segments_sql()} SELECT doc_id, line_no, seg_no, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, seg_no) - 1)::INTEGER AS data_index FROM segments")
+def H07_span_numbers(spark, sf):
+    from pyspark.sql import Window
+
+    s = D.segments(D.lines(docs(spark, sf))).select("doc_id", "line_no", "seg_no")
+    return s.withColumn("data_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "seg_no")) - 1)
+
+
+@query(f"SELECT p.page_id, count(*) FILTER (para <> '') AS n_paragraphs, coalesce(string_agg({_sub('para', ('<[^>]+>', ''))}, chr(10) ORDER BY para_no), '') AS text FROM (SELECT DISTINCT page_id FROM pages) p JOIN (WITH {D.PARAGRAPHS_SQL} SELECT * FROM paras) q USING (page_id) GROUP BY p.page_id")
+def H11_flattened(spark, sf):
+    """All paragraphs of a page as one text."""
+    p = D.paragraphs_html(D.table(spark, sf, "pages"))
+    whole = K.ordered_text(p, "page_id", "para_no", T.swap(F.col("para"), "<[^>]+>", ""), "text", "\n")
+    return whole.join(p.groupBy("page_id").agg(F.count(F.when(F.col("para") != "", 1)).alias("n_paragraphs")), "page_id")
