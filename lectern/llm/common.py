@@ -13,8 +13,17 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """The package on the executors, and batches for Python of so many rows at most unless the session says otherwise:
+    texts can be long, and a worker holds a batch several times over."""
     ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(rows))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

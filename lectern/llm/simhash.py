@@ -122,24 +122,36 @@ def _tiled(cells: DataFrame, big: DataFrame, k: int, size: int) -> DataFrame:
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("lo"), F.greatest(q, F.col("p")).alias("hi")))).alias("tile"),
     )
 
-    def forest(g: pd.DataFrame) -> pd.DataFrame:
+    def forest(fp: np.ndarray) -> pd.DataFrame | None:
         """Star edges from each node to the least node that it reaches inside the tile."""
-        fp = np.unique(g["fp"].to_numpy()).view(np.uint64)
-        label, n = np.arange(len(fp)), len(fp)
+        fp = np.unique(fp).view(np.uint64)
+        label = np.arange(len(fp))
         near = [np.flatnonzero(np.bitwise_count(fp ^ x) <= k) for x in fp]
         while True:
-            new = label.copy()
-            for i in range(n):
-                new[i] = label[near[i]].min()
+            new = np.array([label[x].min() for x in near])
             new = new[new]
             if (new == label).all():
                 break
             label = new
-        at = np.flatnonzero(label != np.arange(n))
-        s = fp.view(np.int64)
-        return pd.DataFrame({"src": s[at], "dst": s[label[at]]})
+        at = np.flatnonzero(label != np.arange(len(fp)))
+        signed = fp.view(np.int64)
+        return pd.DataFrame({"src": signed[at], "dst": signed[label[at]]}) if len(at) else None
 
-    return tiles.groupBy("cell", "tile.lo", "tile.hi").applyInPandas(forest, "src bigint, dst bigint")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tiles follow each other in the sorted rows; only the last one of a batch waits for the next."""
+        rest = np.zeros((0, 4), np.int64)
+        for b in batches:
+            rest = np.concatenate([rest, b.to_numpy(np.int64)])
+            heads = np.flatnonzero(np.r_[True, (rest[1:, :3] != rest[:-1, :3]).any(axis=1)])
+            for lo, hi in zip(heads, heads[1:], strict=False):
+                if (out := forest(rest[lo:hi, 3])) is not None:
+                    yield out
+            rest = rest[heads[-1] :]
+        if len(rest) and (out := forest(rest[:, 3])) is not None:
+            yield out
+
+    tiles = tiles.select("cell", "tile.lo", "tile.hi", "fp").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+    return tiles.mapInPandas(run, "src bigint, dst bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = 4, segment: int = 2) -> DataFrame:
