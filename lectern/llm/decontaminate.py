@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, words_of
 
-MATCH, OFF, GAP = 1.0, -0.5, -0.5
+#: Of equal scores the one with more matches wins: a match is worth a millionth more, which also counts the matches.
+TINY = 2.0**-20
+MATCH, OFF, GAP = 1.0 + TINY, -0.5, -0.5
 
 
 def align(item: list[int], passage: list[int]) -> tuple[float, int, int]:
-    """Best local alignment: score over the item's length, and the passage's range (start, end) of words."""
+    """Best local alignment: matched words over the item's length, and the passage's range (start, end) of words."""
     n = len(passage)
     if not item or not n:
         return 0.0, 0, 0
@@ -47,7 +49,7 @@ def align(item: list[int], passage: list[int]) -> tuple[float, int, int]:
         k = int(row.argmax())
         if row[k] > best:
             best, at = float(row[k]), (int(begin[k]), k)
-    return best / len(item), *at
+    return (best - round(best * 2 - 2 * TINY) / 2) / TINY / len(item), *at
 
 
 class Seeds:
@@ -157,8 +159,8 @@ def _bounded(items: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, chance: float = 0.01, longest: int = 8, block_chars: int = 8_000_000) -> DataFrame:
     """One row for each document and test item that align: doc_id, item_id, score, start_word, end_word.
 
-    score: matched words less half of the changed, missing and added ones, over the item's words, in the best local
-    alignment; rows have `similarity` or more. The benchmark goes to the executors in blocks of a fixed size, each
+    score: matched words over the item's words in the best local alignment, in which a match counts 1 and a changed,
+    missing or added word -0.5; rows have `similarity` or more. The benchmark goes to the executors in blocks of a fixed size, each
     against all documents. Null or empty texts on either side align with nothing; rows of docs that repeat a doc_id each
     give their rows; test items that repeat likewise. Empty tables give no rows; other columns are ignored.
     """

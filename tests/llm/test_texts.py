@@ -12,13 +12,14 @@ from lectern.llm.common import words_of
 
 
 def smith_waterman(a, b):
-    best, row = 0.0, [0.0] * (len(b) + 1)
+    """Matched words over len(a): best score, then most matches."""
+    best, row = (0.0, 0), [(0.0, 0)] * (len(b) + 1)
     for x in a:
-        new = [0.0]
+        new = [(0.0, 0)]
         for j, y in enumerate(b):
-            new.append(max(0.0, row[j] + (1.0 if x == y else -0.5), row[j + 1] - 0.5, new[j] - 0.5))
+            new.append(max((0.0, 0), (row[j][0] + (1.0 if x == y else -0.5), row[j][1] + (x == y)), (row[j + 1][0] - 0.5, row[j + 1][1]), (new[j][0] - 0.5, new[j][1])))
         row, best = new, max(best, *new)
-    return best / len(a)
+    return best[1] / len(a)
 
 
 def test_alignment_as_the_plain_recurrence():
