@@ -29,11 +29,19 @@ LETTER, NUMBER, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb
 NULL_KEY = -(1 << 63)
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible, else one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them. Byte-level pieces are encoded apart from each other, so
-    each piece that a text of Latin-1 characters holds is encoded once and kept, up to a bounded number of pieces."""
+    the library's model encodes each piece of a Latin-1 text once; pieces are kept in two generations of bounded size,
+    and those in use move to the younger one. Other texts go through the library whole."""
 
-    def __init__(self, path: str, end: int, pieces: int = 400_000):
+    def __init__(self, path: str, end: int, pieces: int = 300_000):
         import re
 
         from tokenizers import Tokenizer
@@ -42,6 +50,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters, self.model = byte_letters(), self.library.model
         self.cut = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
         ).findall
@@ -49,6 +59,9 @@ class Encoder:
     def _raw(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return self._raw([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+
     def _simple(self, text: str) -> bool:
         try:
             text.encode("latin-1")
@@ -56,6 +69,14 @@ class Encoder:
             return False
         return not any(s in text for s in self.special)
 
+    def _learn(self, need: set[str]) -> None:
+        new = need.difference(self.kept)
+        if len(self.kept) + len(new) > self.most:
+            self.old, self.kept = self.kept, {}
+            new = need
+        for p in new:
+            self.kept[p] = self.old.get(p) or self._piece(p)
+
     def encode(self, texts: list[str], group: int = 1 << 21) -> Iterator[bytes]:
         """The ids of each text with the end id, as bytes."""
         tail, at = self._raw([self.end]), 0
@@ -66,14 +87,7 @@ class Encoder:
                 parts.append(self.cut(t) if self._simple(t) else t)
                 read += len(t)
                 at += 1
-            need = {p for part in parts if isinstance(part, list) for p in part}
-            new = [p for p in need if p not in self.kept]
-            if len(self.kept) + len(new) > self.most:
-                self.kept.clear()
-                new = list(need)
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                self.kept.update(zip(some, (self._raw(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+            self._learn(set().union(*(p for p in parts if isinstance(p, list))))
             one = self.kept.__getitem__
             for part in parts:
                 if isinstance(part, list):
