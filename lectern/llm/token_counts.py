@@ -1,9 +1,10 @@
 """Token counts by a compiled finite-state transducer.
 
-The transducer reads a text in runs between white space. Its states are "between runs" and, inside a run, what has been
-read of it; its arcs are labelled with runs and carry the number of tokens that the library emits for them. White space
-never lies inside a token of these tokenizers and nothing looks across it, so the arcs' counts add up. An arc is compiled
-by the library when it is first met and kept in a table of bounded size.
+White space never lies inside a token of these tokenizers and nothing looks across it, so a text is read in runs between
+white space and counts add up. A run is cut into words as the tokenizer cuts it, and each word goes symbol by symbol
+through a deterministic transducer compiled from the tokenizer's merges, whose transitions carry emitted counts. The way
+that a run takes from "between runs" back to it is kept as one arc with the sum, in a table of bounded size. Runs beyond
+Latin-1 or with special strings get their arc from the library.
 
 A piece of text is then a map from entry state to exit state and emitted count. Such maps compose associatively, so a
 long text is cut anywhere, each chunk gives its map, and a prefix scan over the maps gives the count.
@@ -11,6 +12,7 @@ long text is cut anywhere, each chunk gives its map, and a prefix scan over the
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -19,7 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_transducer import WordTransducer
 from .common import documents
+from .token_output import LETTER, NUMBER, SPACE, byte_letters
 
 ASCII_SPACE = re.compile(r"[ \t\n\v\f\r]+")
 #: Python's split() takes these for white space, the tokenizers don't.
@@ -38,6 +42,9 @@ class ChunkMap(NamedTuple):
 class Transducer:
     """Counts of one tokenizer of the tokenizers library whose tokens never hold white space."""
 
+    #: The way of cutting words that is compiled here; with another one every arc comes from the library.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str, arcs: int = 500_000, chunk: int = 1 << 20):
         from tokenizers import Tokenizer
 
@@ -45,19 +52,45 @@ class Transducer:
         self.library.no_padding()
         self.library.no_truncation()
         self.arcs: dict[str, int] = {}
-        self.folds = self._folds()
-
-    def _folds(self) -> bool:
-        """Whether the tokenizer lower-cases anyway: then runs of Latin-1 letters may be folded before they are looked up."""
-        return self.library.normalizer is not None and self.library.normalizer.normalize_str("AÀ") == "aà"
+        self.folds = self.library.normalizer is not None and self.library.normalizer.normalize_str("AÀ") == "aà"
+        self.words = self._words()
+        self.letters = byte_letters()
+        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+").findall
+
+    def _words(self) -> WordTransducer | None:
+        """The transducer of words, if the tokenizer has the form that it compiles: lower case, this pattern, byte-level
+        merges with an end mark."""
+        spec = json.loads(self.library.to_str())
+        model, cuts = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        whole = model["type"] == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout") and not model.get("ignore_merges")
+        same = len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": self.PATTERN} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") and cuts[1]["type"] == "ByteLevel"
+        if not (whole and same and self.folds):
+            return None
+        return WordTransducer([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"])
+
+    def arc(self, run: str) -> int | None:
+        """The count of a run by the transducer of words; None where only the library will do."""
+        if self.words is None or "<|" in run:
+            return None
+        try:
+            run.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return sum(self.words.count(w.encode().decode("latin-1").translate(self.letters)) for w in self.cut(run.lower()))
 
     def compile(self, runs: set[str]) -> None:
         new = [r for r in runs if r not in self.arcs]
         if len(self.arcs) + len(new) > self.most:
             self.arcs.clear()
             new = list(runs)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        rest = []
+        for r in new:
+            if (n := self.arc(r)) is None:
+                rest.append(r)
+            else:
+                self.arcs[r] = n
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
             self.arcs.update(zip(part, (len(e) for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
 
     def runs(self, text: str) -> list[str]:

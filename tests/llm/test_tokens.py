@@ -28,6 +28,16 @@ def test_counts_as_the_library():
     assert t.totals(some) == want
 
 
+def test_word_transducer_as_the_library():
+    t, library, rng = Transducer(WORD), Tokenizer.from_file(WORD), random.Random(4)
+    syllables = ["th", "in", "er", "an", "été", "ß", "ing", "x", "q", "tion", "'s", "!!", "7", "ly", "-", "ñ"]
+    runs = ["".join(rng.choices(syllables, k=rng.randint(1, 12))) for _ in range(3000)] + ["".join(rng.choices("abcdeéxz.", k=rng.randint(1, 25))) for _ in range(3000)]
+    assert t.words is not None
+    t.words.most = 500  # so that it starts anew now and then
+    assert [t.arc(r) for r in runs] == [len(e.ids) for e in library.encode_batch(runs, add_special_tokens=False)]
+    assert t.arc("漢字") is None and t.arc("<|endoftext|>") is None
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 7, 64])
 def test_chunk_maps_compose_at_any_cut(chunk):
     t, library = Transducer(WORD, chunk=chunk), Tokenizer.from_file(WORD)
