@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and strings in a sensitive context that zstandard cannot compress.
 
 A candidate's novelty is the number of bytes that it adds to a zstandard frame whose dictionary holds common identifiers
-and the text around the candidate, over its length. Words, identifiers and repeated values are cheap to encode there;
-random key material is not.
+and the text around the candidate without its own copies, over its length. Words and identifiers are cheap to encode
+there; random key material is not. A string that is novel in its first sensitive place is reported wherever it stands.
 """
 
 from __future__ import annotations
@@ -54,14 +54,22 @@ class Rules(NamedTuple):
 
 
 def novelty(text: str, start: int, end: int, around: int) -> float:
-    """Marginal compressed bytes a character of text[start:end]."""
+    """Marginal compressed bytes a character of text[start:end]. Its own copies nearby do not prime, or each would hide the
+    others; where there are copies, the text before it and the identifiers are tried alone too, and the cheapest counts."""
     import zstandard as zstd
 
-    primer = f"{IDENTIFIERS} {text[max(0, start - around):start]}\n{text[end:end + around]}".encode()
-    pack = zstd.ZstdCompressor(level=6, dict_data=zstd.ZstdCompressionDict(primer, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
-    lead = text[max(0, start - 32) : start].encode()
-    with_it, without = len(pack.compress(lead + text[start:end].encode())), len(pack.compress(lead))
-    return (with_it - without) / (end - start)
+    own, n = text[start:end], end - start
+    near = text[max(0, start - around - n) : start], text[end : end + around + n]
+    before = near[0].replace(own, " " * n)[-around:]  # n more: no copy is cut at the border
+    after = near[1].replace(own, " " * n)[:around]
+    primers = [f"{IDENTIFIERS} {before}\n{after}"]
+    if own in near[0] or own in near[1]:
+        primers += [f"{IDENTIFIERS} {before}\n", IDENTIFIERS]
+    lead, least = before[-32:].encode(), []
+    for primer in primers:
+        pack = zstd.ZstdCompressor(level=6, dict_data=zstd.ZstdCompressionDict(primer.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+        least.append(len(pack.compress(lead + own.encode())) - len(pack.compress(lead)))
+    return min(least) / n
 
 
 def scan(text: str, rules: Rules = Rules()) -> list[tuple[int, int, str]]:
@@ -75,13 +83,17 @@ def scan(text: str, rules: Rules = Rules()) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20]
         found += [(*m.span(), "hex") for m in HEX.finditer(text, a, b)]
     base = list(found)
+    places: dict[str, list[tuple[int, int]]] = {}
     for a, b in runs:
         for m in CANDIDATE.finditer(text, a, b):
             s, e = m.span()
             if any(x < e and s < y for x, y, _ in base) or not MIXED.match(m[0]):
                 continue
-            if SENSITIVE.search(text, max(0, s - rules.reach), s) and novelty(text, s, e, rules.around) >= rules.novelty:
-                found.append((s, e, "novel"))
+            places.setdefault(m[0], []).append((s, e))
+    for at in places.values():
+        first = next(((s, e) for s, e in at if SENSITIVE.search(text, max(0, s - rules.reach), s)), None)
+        if first and novelty(text, *first, rules.around) >= rules.novelty:
+            found += [(s, e, "novel") for s, e in at]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
