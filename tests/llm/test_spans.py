@@ -148,5 +148,57 @@ def test_estimation_trusts_the_labelers_that_agree():
     belief, rates = pii.estimate(counts)
     assert belief["email", "yyyy"] > 0.95 and belief["number", "--yy"] > 0.5 > belief["number", "-nnn"]
     assert rates[2]["y"][0] > rates[2]["y"][1]
-    chance = pii.classifier(counts, belief)
-    assert chance["number", "--yy"] > chance["number", "---y"] > chance["number", "-nnn"]
+
+
+def test_classifier_learns_from_features():
+    rows = [(4, 1, 4, 0, 1, 2, 38.0, 40), (4, 2, 4, 0, 1, 0, 1.0, 30), (4, 1, 4, 0, 1, 0, 0.5, 5), (0, 64, 0, 0, 1, 0, 49.0, 50)]
+    bias, w = pii.classifier(rows)
+    logit = lambda kind, prev, variety: bias + w["kind"][kind] + w["prev"][prev] + w["variety"][3 * kind + variety]
+    assert logit(4, 1, 2) > logit(4, 1, 0) > logit(4, 2, 0)
+
+
+def iban(rng):
+    body = "".join(rng.choices("0123456789", k=18))
+    n = int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+    return f"DE{98 - n:02d}{body}"
+
+
+def test_added_kinds_are_found_and_look_alikes_left(spark):
+    """Recall of the loose kinds and false alarms on part numbers, versions and the like."""
+    rng, rows, want, other = random.Random(17), [], set(), set()
+    prose = lambda: " ".join(rng.choices("the of market river letter walks under green morning".split(), k=8))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    for i in range(700):
+        kind = i % 7
+        ssn = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+        tel = f"{rng.randint(201, 989)}-{rng.randint(200, 999)}-{digits(4)}"
+        say, value = [
+            ("social security number:", ssn), ("phone:", tel), ("IBAN", iban(rng)), ("write to", f"{rng.choice(['ann', 'bob', 'joe'])}{i} [at] example [dot] com"),
+            ("order no. ", f"{digits(3)}-00-{digits(4)}"), ("part ", f"AB12 {digits(4)} {digits(4)} {digits(4)}"), ("mail", f"joe{i}@example.com"),
+        ][kind]
+        rows.append((i, f"{prose()} {say} {value} {prose()}"))
+        if kind < 4:
+            want.add(i)
+        elif kind < 6:
+            other.add(i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in pii.digest(docs).collect() if r.n_number + r.n_account + r.n_masked}
+    assert len(found & want) / len(want) >= 0.95 and len(found & other) / len(other) <= 0.05
+
+
+@pytest.mark.parametrize("piece", ["12, ", "4111 1111 1111 1111, ", "a@b.co ", "+1 555 010 9999; "])
+def test_personal_data_in_a_text_of_a_million_characters(spark, piece):
+    text = piece * (1_000_000 // len(piece))
+    began = time.time()
+    row = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.time() - began < 60
+    assert row.base_sha256 == hashlib.sha256(join(brute_pii(text)).encode()).hexdigest()
+
+
+def test_loose_spans_keep_clear_of_base_spans(spark):
+    rng = random.Random(3)
+    base = sorted((a := rng.randrange(2000), a + rng.randint(1, 30)) for _ in range(90))
+    loose = sorted((a := rng.randrange(2000), a + rng.randint(1, 12)) for _ in range(300))
+    d = spark.createDataFrame([(base, loose), (base, []), ([], loose)], "base array<struct<start:int,end:int>>, loose array<struct<start:int,end:int>>")
+    for r in d.select("*", pii._free("loose", "base").alias("free")).collect():
+        assert sorted(map(tuple, r.free)) == [x for x in map(tuple, r.loose) if all(e <= x[0] or x[1] <= s for s, e in r.base)]
