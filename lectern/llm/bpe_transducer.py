@@ -7,7 +7,8 @@ part of a later token. A state therefore holds that stretch of the word, the las
 counts there relative to its first place. Reading a symbol leads to one next state and emits the change of the count.
 The last symbol of a word is another one (it carries the end mark), so each state has a second table for it.
 
-States and transitions are compiled when they are first reached, from the merges alone.
+States and transitions are compiled when they are first reached, from the merges alone. Their number is bounded by the
+merges; who keeps no state may `reset` them when there are more than `most`.
 """
 
 from __future__ import annotations
@@ -93,8 +94,6 @@ class WordTransducer:
 
     def count(self, word: str) -> int:
         """Tokens of a word given as the characters that stand for its bytes."""
-        if len(self.states) > self.most:
-            self.reset()
         at, total, step, follow = 0, 0, self.step, self.next
         for c in word[:-1]:
             at, emitted = follow[at].get(c) or step(at, c)

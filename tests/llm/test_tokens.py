@@ -1,6 +1,7 @@
 """Counts and ids against the library on whole texts; the hash index and the files by round trip."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -21,28 +22,62 @@ def texts(n, seed=1):
     return ["", " ", "\n\n", *["".join(rng.choices(PIECES, k=rng.choice([1, 3, 20]))) for _ in range(n)]]
 
 
+def counted(library, texts):
+    return [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_counts_as_the_library():
     t, library = Transducer(WORD, arcs=50), Tokenizer.from_file(WORD)
+    t.words.most = 500  # so that it starts anew now and then
     some = texts(600)
-    want = [len(library.encode(x, add_special_tokens=False).ids) for x in some]
-    assert t.totals(some) == want
+    assert t.totals(some) == counted(library, some)
 
 
 def test_word_transducer_as_the_library():
     t, library, rng = Transducer(WORD), Tokenizer.from_file(WORD), random.Random(4)
-    syllables = ["th", "in", "er", "an", "été", "ß", "ing", "x", "q", "tion", "'s", "!!", "7", "ly", "-", "ñ"]
+    syllables = ["th", "in", "er", "an", "été", "ß", "ing", "x", "q", "tion", "'s", "!!", "7", "ly", "-", "ñ", "漢", "字", "при", "вет", "اب", "🙂", "가", "ก็"]
     runs = ["".join(rng.choices(syllables, k=rng.randint(1, 12))) for _ in range(3000)] + ["".join(rng.choices("abcdeéxz.", k=rng.randint(1, 25))) for _ in range(3000)]
-    assert t.words is not None
-    t.words.most = 500  # so that it starts anew now and then
-    assert [t.arc(r) for r in runs] == [len(e.ids) for e in library.encode_batch(runs, add_special_tokens=False)]
-    assert t.arc("漢字") is None and t.arc("<|endoftext|>") is None
+    assert [t.arc(r) for r in runs] == counted(library, runs)
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7, 64])
+@pytest.mark.parametrize("chunk", [1, 2, 7, 64, 4096])
 def test_chunk_maps_compose_at_any_cut(chunk):
     t, library = Transducer(WORD, chunk=chunk), Tokenizer.from_file(WORD)
-    for x in texts(40, seed=chunk):
-        assert t.total(x) == len(library.encode(x, add_special_tokens=False).ids)
+    some = texts(150, seed=chunk)
+    assert t.totals(some) == counted(library, some)
+
+
+def test_contractions_at_every_cut():
+    t, library = Transducer(WORD), Tokenizer.from_file(WORD)
+    some = [a + c + b for a in ("", "x", "!", "'", "1") for c in ("'s", "'re", "'r", "'ll", "'l", "'", "''ve", "'d's") for b in ("", "e", "l", "'", "!", "9")]
+    for x, want in zip(some, counted(library, some), strict=True):
+        for cut in range(len(x) + 1):
+            state, n = t.advance(0, x[:cut])
+            state, more = t.advance(state, x[cut:])
+            assert n + more + t.finish(state) == want, (x, cut)
+
+
+def test_the_shape_of_a_map_is_bounded():
+    t = Transducer(WORD, chunk=1000)
+    text = "ab" * 50_000
+    whole = t.scan(text, [t.map(text, at, at + 1000) for at in range(0, len(text), 1000)])
+    assert whole == ((0, 100_000), False, 0, 0)
+    text = "ab " + text + " ab"
+    whole = t.scan(text, [t.map(text, at, min(at + 1000, len(text))) for at in range(0, len(text), 1000)])
+    assert whole.head == (0, 2) and whole.broken and whole.count > 0
+
+
+@pytest.mark.parametrize("piece", ["a", "漢字仮名", "x1-", "'re", "été"])
+def test_long_texts_without_white_space(piece):
+    text = piece * (400_000 // len(piece))
+    began = time.time()
+    n = Transducer(WORD).total(text)
+    assert time.time() - began < 60 and n == len(Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids)
+
+
+def test_another_form_of_tokenizer_is_refused():
+    with pytest.raises(ValueError):
+        Transducer(BYTE)
 
 
 def table(spark, n=120):
