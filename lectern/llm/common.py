@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -13,13 +14,13 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
-def prepare(spark: SparkSession, rows: int = 1000) -> None:
-    """The package on the executors, and batches for Python of so many rows at most unless the session says otherwise:
-    texts can be long, and a worker holds a batch several times over."""
+def prepare(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """The package on the executors, and batches for Python of so many rows and bytes at most unless the session says
+    otherwise: texts can be long, and a worker holds a batch several times over."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if key not in spark.conf.getAll:
-        spark.conf.set(key, str(rows))
+    for key, value in {"maxRecordsPerBatch": str(rows), "maxBytesPerBatch": size}.items():
+        if f"spark.sql.execution.arrow.{key}" not in spark.conf.getAll:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Only where it is unset, as in tests, a folder of our own."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset a folder of our own does in one process, as
+    in tests; on a cluster each executor would write to its own disk, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^-,]*(,[^-,]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

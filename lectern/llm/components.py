@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: A node with more than one in HUB of all edges is a hub: 2 * HUB at most, a broadcast of proven size. Its edges are
+#: dealt to SALTS tasks.
+HUB, SALTS = 256, 32
+
+
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One step. large: every node hands its larger neighbours to the least of its neighbourhood; small: its smaller ones."""
     if large:
         both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     else:
         both = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("root"))
-    moved = both.join(least.withColumnRenamed("src", "at"), F.col("src") == F.col("at"))
+    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("root"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.filter(F.col("n") > max(total // HUB, SALTS)).select(F.col("src").alias("hub")))
+    salted = lambda rows, salt, else_: rows.join(hubs, F.col("src") == F.col("hub"), "left").withColumn("salt", F.when(F.col("hub").isNotNull(), salt).otherwise(else_)).drop("hub")
+    rooted = salted(least, F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0))).select(F.col("src").alias("at"), "root", F.explode("salt").alias("deal"))
+    dealt = salted(both, F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"), F.lit(0))
+    moved = dealt.join(rooted, (F.col("src") == F.col("at")) & (F.col("salt") == F.col("deal")))
     if large:
         out = moved.filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("root").alias("dst"))
     else:
@@ -24,22 +33,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out if large else out.distinct()
 
 
+def _state(edges: DataFrame) -> tuple[int, int | None]:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % (1 << 40))).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges: src, dst of one orderable type. Returns node, component (least node reachable) for every node with an edge.
 
     Each round is written to the shared folder; only a count and a checksum come to the driver. Nulls and loops are
-    ignored; no edges give no rows.
+    ignored; no edges give no rows. The edges of a node that has many are dealt to several tasks.
     """
     e = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
     e = materialise(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
-    seen = None
-    for _ in range(max_rounds):
-        e = materialise(_star(_star(e, True), False), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % (1 << 40))).first()
+    seen = _state(e)
+    for _ in range(max_rounds if seen[0] else 0):
+        e = materialise(_star(_star(e, True, seen[0]), False, seen[0]), "edges")
+        now = _state(e)
         if now == seen:
             break
         seen = now
     else:
-        raise RuntimeError("components did not settle")
+        if seen[0]:
+            raise RuntimeError("components did not settle")
     roots = e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots)

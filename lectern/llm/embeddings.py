@@ -15,6 +15,7 @@ weight. Filters with many vectors are cut into tiles of bounded size, every pair
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
@@ -28,8 +29,9 @@ from .components import components
 
 class Rules(NamedTuple):
     """cosine: of a link. blocks, words: of the product code, words to the power blocks directions. deviations: the caps'
-    threshold, in standard deviations of a random vector's inner product. least: filters of a vector at least; those with fewer in their caps take
-    their nearest directions. tile: vectors on each side of a tile."""
+    threshold, in standard deviations of a random vector's inner product. least: filters of a vector at least; those with
+    fewer in their caps take their nearest directions. tile: vectors on each side of a tile. share: filters of a random
+    vector, occupancy: most random vectors in a filter, which together give words and deviations for a table's size."""
 
     cosine: float = 0.9
     blocks: int = 2
@@ -38,6 +40,19 @@ class Rules(NamedTuple):
     least: int = 12
     tile: int = 512
     seed: int = 7
+    share: float = 32.0
+    occupancy: float = 1000.0
+
+    def scaled(self, n: int) -> Rules:
+        """For n vectors: so many words that a filter holds some `occupancy` of them, and caps that leave each vector in
+        about `share` filters. The smallest code does up to 512,000. Tails are thinner on the sphere than on the line, so
+        with large codes `least` decides for most vectors; it doubles."""
+        words = self.words
+        while words**self.blocks * self.occupancy < self.share * n:
+            words *= 2
+        if words == self.words:
+            return self
+        return self._replace(words=words, least=2 * self.least, deviations=NormalDist().inv_cdf(1 - self.share / words**self.blocks))
 
 
 class Code:
@@ -115,6 +130,9 @@ def near_vectors(table: DataFrame, rules: Rules = Rules()) -> DataFrame:
     nothing and are their own component. Vectors of different lengths never link. Equal rows are linked rows; null ids
     take part but name no component. An empty table gives no rows; other columns are ignored.
     """
+    # single precision is exchanged as it is, and computed in double
+    single = table.schema["embedding"].dataType.simpleString() == "array<float>"
+    vector = F.col("v").cast("array<float>") if single else F.col("v")
     v = table.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     good = F.coalesce(F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda c: c != 0), F.lit(False))
@@ -125,6 +143,8 @@ def near_vectors(table: DataFrame, rules: Rules = Rules()) -> DataFrame:
     nodes = nodes.withColumn("id", F.monotonically_increasing_id())
     nodes = materialise(nodes, "vectors")
 
+    rules = rules.scaled(nodes.count())
+
     def passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: dict[int, Code] = {}
         for b in batches:
@@ -132,17 +152,19 @@ def near_vectors(table: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 code = codes.setdefault(dim, Code(dim, rules))
                 for at in range(0, len(part), 500):
                     some = part.iloc[at : at + 500]
-                    yield pd.DataFrame({"id": some["id"], "weight": some["weight"], "v": some["v"], "dim": dim, "filters": [f.tolist() for f in code.filters(_unit(some["v"]))]})
+                    yield pd.DataFrame({"id": some["id"], "dim": dim, "filters": [f.tolist() for f in code.filters(_unit(some["v"]))]})
 
-    listed = materialise(nodes.select("id", "weight", "v").mapInPandas(passes, "id bigint, weight bigint, v array<double>, dim int, filters array<bigint>"), "filters")
-    spread = listed.select("id", "dim", F.explode("filters").alias("filter"))
+    listed = materialise(nodes.select("id", "v").mapInPandas(passes, "id bigint, dim int, filters array<bigint>"), "filters")
+    spread = listed.select("id", "dim", F.posexplode("filters").alias("rank", "filter"))
     sizes = spread.groupBy("dim", "filter").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = materialise(sizes.withColumn("parts", F.ceil(F.col("n") / rules.tile).cast("int")), "filter-sizes")
-    held = listed.select("id", "weight", "v", "dim", "filters", F.explode("filters").alias("filter")).join(sizes, ["dim", "filter"])
-    held = held.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tiles = held.select(
-        "dim", "filter", "id", "weight", "v", "p", F.filter("filters", lambda f: f < F.col("filter")).alias("earlier"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("lo"), F.greatest(q, F.col("p")).alias("hi")))).alias("tile"),
+    # ids go through the join alone; a vector and the list of its filters are fetched once, before it is dealt to tiles
+    held = spread.join(sizes, ["dim", "filter"]).groupBy("id").agg(F.collect_list(F.struct("rank", "filter", "parts")).alias("shared"))
+    whole = nodes.select("id", "weight", vector.alias("v")).join(listed, "id").join(held, "id").select("id", "weight", "v", "dim", "filters", F.explode("shared").alias("s"))
+    parts, p = F.col("s.parts"), F.pmod(F.xxhash64("id"), F.col("s.parts")).cast("int")
+    tiles = whole.select(
+        "dim", F.col("s.filter").alias("filter"), "id", "weight", "v", p.alias("p"), F.slice("filters", F.lit(1), F.col("s.rank")).alias("earlier"),
+        F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(F.least(q, p).alias("lo"), F.greatest(q, p).alias("hi")))).alias("tile"),
     )
 
     def verify(x: np.ndarray, g: pd.DataFrame) -> pd.DataFrame | None:

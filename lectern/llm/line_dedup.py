@@ -23,7 +23,7 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def boilerplate(docs: DataFrame, min_sites: int = 8, min_chars: int = 12, lg_k: int = 9, band: float = 6.0) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = 8, min_chars: int = 1, lg_k: int = 9, band: float = 6.0) -> DataFrame:
     """h, n_sites of the lines (blanks around them aside, min_chars characters or more) that min_sites or more sites use.
 
     Sketches are filled before the exchange, so a line that every document holds, or a site with a third of all rows,
@@ -41,13 +41,13 @@ def boilerplate(docs: DataFrame, min_sites: int = 8, min_chars: int = 12, lg_k:
     return exact.union(spread.filter(F.col("n") > high))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 12) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 1) -> DataFrame:
     """The rows of docs without boilerplate lines in text, all other columns, then n_lines and n_removed.
 
     Null text counts as empty and becomes empty: one line, which is too short to go. Null sources are one site. Equal
-    rows give equal rows, an empty table none. n_lines and n_removed are the operator's where names clash. The lines to
-    remove are found once for each distinct text and joined back by its hash; Spark splits the rows of a text with many
-    copies.
+    rows give equal rows, an empty table none. n_lines and n_removed are the operator's where names clash. Texts of any
+    length are read whole. The kept lines are found once for each distinct text that loses some, and joined back by its
+    hash; Spark splits the rows of a text with many copies.
     """
     bad = materialise(boilerplate(docs, min_sites, min_chars).select(F.col("h").alias("bad")), "boilerplate")
     key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("text"), F.col("text")).alias("b"))
@@ -58,9 +58,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 12) -> Dat
     drop = materialise(drop.withColumnRenamed("k", "dropped"), "removed-lines")
     joined = own.select(F.struct(*own.columns).alias("row"), F.col("text")).withColumn("k", key).join(drop, F.col("k") == F.col("dropped"), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n"))
-    row = F.col("row").withField("text", kept)
-    return joined.select(row.alias("row"), F.size(lines).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_removed")).select("row.*", "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"))
+    # places to keep by a set difference, which hashes; array_except keeps the order of the first
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+    kept = F.expr("get(transform(array(split(text, '\n', -1)), l -> array_join(transform(stay, i -> get(l, i)), '\n')), 0)")
+    made = joined.withColumn("stay", F.when(F.col("drop").isNotNull(), stay))
+    row = F.col("row").withField("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept))
+    return made.select(row.alias("row"), F.size(lines).alias("n_lines"), F.greatest(F.coalesce(F.size("drop"), F.lit(0)), F.lit(0)).alias("n_removed")).select("row.*", "n_lines", "n_removed")
 
 
 ORACLE = """
@@ -68,7 +71,7 @@ WITH lines AS (
   SELECT doc_id, coalesce(source, '') AS source, line, pos
   FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
 ), bad AS (
-  SELECT trim(line, ' ') AS line FROM lines WHERE length(trim(line, ' ')) >= 12 GROUP BY 1 HAVING count(DISTINCT source) >= 8
+  SELECT trim(line, ' ') AS line FROM lines WHERE length(trim(line, ' ')) >= 1 GROUP BY 1 HAVING count(DISTINCT source) >= 8
 ), kept AS (
   SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON trim(l.line, ' ') = b.line
 )

@@ -26,10 +26,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
         given = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))]) if weights else F.create_map()
         target = F.coalesce(given[F.col("source")], F.lit(0.0)) if weights else F.lit(0.0)
     by = by.withColumn("target", target)
-    total = by.agg(F.sum("size").cast("double").alias("all_size"), F.sum("target").alias("all_target"))
+    # as decimals, so that the sum does not depend on the order of sources
+    total = by.agg(F.sum("size").cast("double").alias("all_size"), F.sum(F.col("target").cast("decimal(34,14)")).cast("double").alias("all_target"))
     rate = F.col("target") / F.col("all_target") * F.col("all_size") / F.col("size")
     out = by.join(F.broadcast(total))  # one row
-    return out.select("source", "n_docs", "size", F.round(F.when(F.col("size") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(1.0), 6).alias("rate"))
+    return out.select("source", "n_docs", "size", F.when(F.col("size") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(1.0).alias("rate"))
 
 
 def _bits(*parts: Column) -> Column:
@@ -59,8 +60,9 @@ def poisson(u: Column, rate: Column) -> Column:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 42) -> DataFrame:
     """Rows of docs, each repeated by its count, in global random order: all columns, then copy, rate and shuffle_key.
 
-    Null and empty sources are one source; null text has no characters; null ids are hashed as empty. Equal rows have
-    equal counts and keys. Rows whose count is 0 do not appear: over a source, the sum of counts follows its target. An
+    Null and empty sources are one source; null text has no characters; null ids are hashed as empty. Equal rows are one
+    document held several times: they share one draw and one key, whatever files or tasks hold them, so that a run can be
+    repeated; deduplicate first where that is not meant. Rows whose count is 0 do not appear: over a source, the sum of counts follows its target. An
     empty table gives no rows. Names that clash (copy, rate, shuffle_key) are those of the operator in the result. The
     table of rates is written first, so that Spark knows its size: it is broadcast if small, else joined by a shuffle in
     which Spark splits a hot source's rows.
@@ -82,7 +84,7 @@ ORACLE = """
 WITH sizes AS (
   SELECT coalesce(source, '') AS source, sum(length(coalesce(text, '')))::BIGINT AS size FROM documents GROUP BY 1
 ), rated AS (
-  SELECT source, CASE WHEN size > 0 THEN round(sqrt(size::DOUBLE) / (SELECT sum(sqrt(size::DOUBLE)) FROM sizes) * (SELECT sum(size)::DOUBLE FROM sizes) / size, 6) ELSE 1.0 END AS rate
+  SELECT source, CASE WHEN size > 0 THEN sqrt(size::DOUBLE) / (SELECT sum(sqrt(size::DOUBLE)) FROM sizes) * (SELECT sum(size)::DOUBLE FROM sizes) / size ELSE 1.0 END AS rate
   FROM sizes
 ), numbered AS (
   SELECT d.doc_id, d.source, d.lang, d.text, rate,
@@ -96,7 +98,7 @@ WITH sizes AS (
 ), copies AS (
   SELECT doc_id, source, lang, text, rate, bits, unnest(range(1, n + 1))::INTEGER AS copy FROM counted WHERE n > 0
 )
-SELECT doc_id, source, lang, text, copy, rate,
+SELECT doc_id, source, lang, text, copy, round(rate, 9) AS rate,
   ('0x' || substr(md5(concat_ws('|', 'order', bits::VARCHAR, copy::VARCHAR)), 1, 13))::BIGINT AS shuffle_key
 FROM copies
 """

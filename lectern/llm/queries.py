@@ -44,14 +44,14 @@ def op5_embeddings(spark, sf_dir):
 
 def op6_line_dedup(spark, sf_dir):
     """Documents without the lines that 8 or more sources use."""
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_sites=8, min_chars=12)
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_sites=8)
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op7_mixing(spark, sf_dir):
     """Documents repeated so that sources follow the square root of their size."""
     out = mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5, seed=42)
-    return out.select("doc_id", "source", "lang", "text", "copy", "rate", "shuffle_key")
+    return out.select("doc_id", "source", "lang", "text", "copy", F.round("rate", 9).alias("rate"), "shuffle_key")
 
 
 def op8_token_counts(spark, sf_dir):

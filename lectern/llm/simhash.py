@@ -3,7 +3,7 @@
 A fingerprint is cut into blocks, each block into segments; the popcounts of the segments are its point. The Manhattan
 distance of two points never exceeds the Hamming distance of the fingerprints. If it is at most k over k + 2 blocks, at
 least two blocks agree in every coordinate, so the grid cell made of two blocks' coordinates is a join key: a range join
-of width zero in two blocks and of width k over all. Within a cell the Manhattan bound goes first, the exact distance
+of width zero in two blocks and of width k over all. With very many fingerprints it is three of k + 3 blocks. Within a cell the Manhattan bound goes first, the exact distance
 decides. Equal fingerprints are one node, so copies cost nothing. Cells with many nodes go through tiles of bounded size
 which give a spanning forest, not all pairs.
 """
@@ -57,49 +57,56 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return d.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
-def _blocks(k: int, segment: int) -> list[list[tuple[int, int]]]:
-    """Of each of k + 2 blocks, the (shift, width) of its segments."""
-    n = k + 2
+def _blocks(n: int, segment: int) -> list[list[tuple[int, int]]]:
+    """Of each of n blocks, the (shift, width) of its segments."""
     edges = [round(64 * i / n) for i in range(n + 1)]
     return [[(s, min(segment, hi - s)) for s in range(lo, hi, segment)] for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 def _coordinates(fp, block):
-    """The popcounts of a block's segments, packed four bits each (a segment has at most 8 bits)."""
-    out = F.lit(0).cast("bigint")
-    for i, (shift, width) in enumerate(block):
+    """The popcounts of a block's segments, packed in as many bits as each needs; a block of 32 bits needs 32 at most."""
+    out, at = F.lit(0).cast("bigint"), 0
+    for shift, width in block:
         mask = (1 << width) - 1
-        out = out.bitwiseOR(F.shiftleft(F.bit_count(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(mask))).cast("bigint"), 4 * i))
+        out = out.bitwiseOR(F.shiftleft(F.bit_count(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(mask))).cast("bigint"), at))
+        at += (width + 1).bit_length()
     return out
 
 
-def links(nodes: DataFrame, k: int = 4, segment: int = 2, hot: int = 256) -> DataFrame:
+def agreeing(n: int, k: int) -> int:
+    """How many blocks make a cell, so that the cells of n fingerprints stay small: two hold about 2^16 cells a key, three
+    2^21."""
+    return 2 if n <= 1 << 26 or k + 3 > 16 else 3
+
+
+def links(nodes: DataFrame, k: int = 4, segment: int = 2, hot: int = 256, agree: int = 2) -> DataFrame:
     """nodes: fp, distinct. Edges src, dst (fingerprints) that connect all fingerprints linked at k or fewer bits.
 
-    Cells of up to `hot` nodes are joined with themselves and give every link once; larger ones are cut into tiles of
-    `hot` by `hot` nodes, every pair of nodes in one tile, each giving a spanning forest of its links.
+    Of k + agree blocks at least `agree` have equal points. Cells of up to `hot` nodes are joined with themselves and give
+    every link once; larger ones are cut into tiles of `hot` by `hot` nodes, every pair of nodes in one tile, each giving a
+    spanning forest of its links.
     """
-    blocks = _blocks(k, segment)
-    keys = list(combinations(range(len(blocks)), 2))
-    grid = lambda fp: [_coordinates(fp, b) for b in blocks]
-    cell = lambda t, x, y: F.shiftleft(F.lit(t).cast("bigint"), 48).bitwiseOR(F.shiftleft(x, 24)).bitwiseOR(y)
-    point = nodes.select("fp", *[c.alias(f"c{i}") for i, c in enumerate(grid(F.col("fp")))])
-    cells = point.select("fp", F.explode(F.array(*[cell(t, F.col(f"c{i}"), F.col(f"c{j}")) for t, (i, j) in enumerate(keys)])).alias("cell"))
+    blocks = _blocks(k + agree, segment)
+    keys = list(combinations(range(len(blocks)), agree))
+    point = nodes.select("fp", *[_coordinates(F.col("fp"), b).alias(f"c{i}") for i, b in enumerate(blocks)])
+    # two points a column: what the join compares is not computed again for each pair
+    packed = [F.col(f"c{i}").bitwiseOR(F.shiftleft(f"c{i + 1}", 32)) if i + 1 < len(blocks) else F.col(f"c{i}") for i in range(0, len(blocks), 2)]
+    carried = [f"p{i}" for i in range(len(packed))]
+    named = F.explode(F.array(*[F.struct(F.lit(t).alias("key"), F.xxhash64(F.lit(t), *[f"c{i}" for i in some]).alias("cell")) for t, some in enumerate(keys)]))
+    cells = point.select("fp", *[c.alias(n) for c, n in zip(packed, carried, strict=True)], named.alias("at")).select("at.cell", "at.key", "fp", *carried)
     big = materialise(cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "cells")
     cold = cells.join(big.select("cell"), "cell", "left_anti")
     a, b = cold.alias("a"), cold.alias("b")
-    # the first two equal blocks name the one cell that gives the pair
-    same = [x == y for x, y in zip(grid(F.col("a.fp")), grid(F.col("b.fp")), strict=True)]
-    first = F.lit(len(keys))
-    for t, (i, j) in reversed(list(enumerate(keys))):
-        first = F.when(same[i] & same[j], t).otherwise(first)
+    half = lambda i: F.lit((0xFFFFFFFF << 32) - (1 << 64) if i % 2 else 0xFFFFFFFF)
+    same = [F.col(f"a.p{i // 2}").bitwiseXOR(F.col(f"b.p{i // 2}")).bitwiseAND(half(i)) == 0 for i in range(len(blocks))]
+    bits = sum((F.when(x, 1 << i).otherwise(0) for i, x in enumerate(same)), F.lit(0))
+    # the first equal blocks name the one cell that gives the pair: none of the keys before holds only equal blocks
+    masks = F.array(*[F.lit(sum(1 << i for i in some)) for some in keys])
+    first = F.array_position(F.transform(masks, lambda m: m.bitwiseAND(F.col("equal")) == m), F.lit(True)) - 1
     distance = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    pairs = a.join(
-        b,
-        (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & (_manhattan(blocks) <= k) & (distance <= k)
-        & (first == F.shiftrightunsigned(F.col("a.cell"), 48)),
-    ).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-    return pairs.union(_tiled(cells, big, k, hot))
+    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (_manhattan(blocks) <= k) & (distance <= k))
+    pairs = pairs.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"), F.col("a.key").alias("key"), bits.alias("equal"))
+    return pairs.filter(first == F.col("key")).select("src", "dst").union(_tiled(cells.select("cell", "fp"), big, k, hot))
 
 
 def _manhattan(blocks):
@@ -162,7 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = 4, segment: int
     """
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), k, segment))
+    found = components(links(nodes.select("fp"), k, segment, agree=agreeing(nodes.count(), k)))
     named = found.join(nodes, found["node"] == nodes["fp"]).groupBy("component").agg(F.min("least").alias("least"))
     named = found.join(named, "component").select(F.col("node").alias("fp"), F.col("least").alias("linked"))
     names = materialise(nodes.join(named, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id")), "names")

@@ -1,12 +1,13 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 Shard: 8 bytes of magic, 4 of item width, 4 zero; the ids of its documents one after the other, little-endian; then the
-document ids (int64) and token counts (uint32) of its rows, and their number (uint64) as the last 8 bytes. Shards hold
-rows in ascending doc_id order and follow each other in that order.
+document ids (int64) and token counts (uint32) of its rows, and their number (uint64) as the last 8 bytes. Shards follow
+each other, with their rows in ascending doc_id order or in the order in which the rows come.
 
 Index: keys are dealt to parts by hash. A part is a minimal perfect hash by hash and displace: a key's bucket gives a
 seed, the seed gives the key's slot, every slot is taken once. The slot stores a fingerprint of the key, which exposes
-foreign keys, with the shard, the first row there and the number of rows with this key.
+foreign keys, and where the list of the key's shards begins; in a shard the document ids tell the rows. A key that a third
+of all rows hold has a list no longer than the number of shards.
 """
 
 from __future__ import annotations
@@ -168,10 +169,11 @@ def _part(key, parts: int):
     return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts)).cast("int")
 
 
-def write(docs: DataFrame, root: str, path: str, end: int = 0, keys_per_part: int = 50_000) -> tuple[DataFrame, dict[int, int], int]:
-    """Write shards and index under root. Returns the keys table (doc_id, shard, row, n_tokens), the number of tokens
-    before each shard, and the number of index parts. Text goes through one range exchange; no task holds more than a
-    range of ids, and a shard is written as its documents are encoded."""
+def write(docs: DataFrame, root: str, path: str, end: int = 0, keys_per_part: int = 50_000, ordered: bool = True) -> tuple[DataFrame, dict[int, int], int]:
+    """Write shards and index under root. Returns the keys table (key, shard: one row for each key of a shard), the number of
+    tokens before each shard, and the number of index parts. Text goes through one range exchange, in which rows of one
+    doc_id may be parted between neighbouring shards, or, unless `ordered`, through none. A shard is written as its
+    documents are encoded."""
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k, e, rows = TaskContext.get().partitionId(), encoder(path, end), []
@@ -188,42 +190,49 @@ def write(docs: DataFrame, root: str, path: str, end: int = 0, keys_per_part: in
 
         Store(root).write(f"shard-{k:06d}", pieces())
         if rows:
-            yield pd.DataFrame({"key": [r[0] for r in rows], "shard": k, "row": np.arange(len(rows)), "n_tokens": [r[1] for r in rows]})
-
-    dealt = documents(docs).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_KEY)).alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    keys = materialise(dealt.mapInPandas(shard, "key bigint, shard int, row bigint, n_tokens bigint"), "token-keys")
-    totals = keys.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).orderBy("shard").collect()  # a row for each file
+            found = pd.DataFrame(rows, columns=["key", "n_tokens"]).groupby("key", as_index=False)["n_tokens"].agg(["sum", "size"])
+            yield pd.DataFrame({"key": found["key"], "shard": k, "rows": found["size"], "n_tokens": found["sum"]})
+
+    dealt = documents(docs).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_KEY)).alias("doc_id"), "text")
+    if ordered:
+        # the second key parts rows that share an id (null, above all), also those with equal texts
+        dealt = dealt.withColumn("apart", F.xxhash64("text", F.spark_partition_id()))
+        dealt = dealt.repartitionByRange("doc_id", "apart").sortWithinPartitions("doc_id", "apart").select("doc_id", "text")
+    keys = materialise(dealt.mapInPandas(shard, "key bigint, shard int, rows bigint, n_tokens bigint"), "token-keys")
+    totals = keys.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("keys")).orderBy("shard").collect()  # a row for each file
     starts, before = {}, 0
     for t in totals:
         starts[t["shard"]] = before
         before += t["n"]
-    parts = max(1, -(-sum(t["rows"] for t in totals) // keys_per_part))
+    parts = max(1, -(-sum(t["keys"] for t in totals) // keys_per_part))
 
     def index(g: pd.DataFrame) -> pd.DataFrame:
-        k = g["key"].to_numpy(np.int64).view(np.uint64)
-        perfect, slots = PerfectHash.build(k)
-        table = np.zeros((3, len(k)), np.int64)
-        table[:, slots] = g[["shard", "row", "rows"]].to_numpy(np.int64).T
+        g = g.sort_values(["key", "shard"])
+        k, first, n = np.unique(g["key"].to_numpy(np.int64), return_index=True, return_counts=True)
+        perfect, slots = PerfectHash.build(k.view(np.uint64))
+        table = np.zeros((2, len(k)), np.int64)
+        table[:, slots] = np.array([first, n])
         out = io.BytesIO()
-        np.savez(out, seeds=perfect.seeds, prints=perfect.prints, table=table)
+        np.savez(out, seeds=perfect.seeds, prints=perfect.prints, table=table, shards=g["shard"].to_numpy(np.int32))
         Store(root).write(f"index-{int(g['part'].iloc[0]):06d}", [out.getbuffer()])
         return pd.DataFrame({"part": g["part"].iloc[:1], "n": len(k)})
 
-    firsts = keys.groupBy("key").agg(F.min(F.struct("shard", "row")).alias("at"), F.count("*").alias("rows"))
-    firsts = firsts.select(_part("key", parts).alias("part"), "key", "at.shard", "at.row", "rows")
-    firsts.groupBy("part").applyInPandas(index, "part int, n bigint").agg(F.sum("n")).collect()
+    keys.select(_part("key", parts).alias("part"), "key", "shard").groupBy("part").applyInPandas(index, "part int, n bigint").agg(F.sum("n")).collect()
     return keys, starts, parts
 
 
 def read(keys: DataFrame, root: str, starts: dict[int, int], parts: int) -> DataFrame:
-    """Look up each key (column key) in the index and read its ids from the shards: doc_id, start, n_tokens, ids_crc32, shard."""
+    """Look up each key (column key) in the index and read its ids from the shards: doc_id, start, n_tokens, ids_crc32,
+    shard. Keys that are not there give no rows, also those that share a fingerprint with one that is: the shard decides."""
 
     def find(g: pd.DataFrame) -> pd.DataFrame:
         with Store(root).open(f"index-{int(g['part'].iloc[0]):06d}") as f:
             index = np.load(io.BytesIO(f.read()))
-        slots = PerfectHash(index["seeds"], index["prints"]).slots(g["key"].to_numpy(np.int64).view(np.uint64))
-        hit = index["table"][:, slots[slots >= 0]]
-        return pd.DataFrame({"shard": hit[0], "row": hit[1], "rows": hit[2]})
+        key = g["key"].to_numpy(np.int64)
+        slots = PerfectHash(index["seeds"], index["prints"]).slots(key.view(np.uint64))
+        key, (first, n) = key[slots >= 0], index["table"][:, slots[slots >= 0]]
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else first, n) + np.arange(n.sum())
+        return pd.DataFrame({"key": np.repeat(key, n), "shard": index["shards"][at]})
 
     def fetch(g: pd.DataFrame) -> pd.DataFrame:
         shard, out = int(g["shard"].iloc[0]), []
@@ -237,27 +246,27 @@ def read(keys: DataFrame, root: str, starts: dict[int, int], parts: int) -> Data
             f.seek(size - 8 - 12 * n)
             ids, counts = np.frombuffer(f.read(8 * n), "<i8"), np.frombuffer(f.read(4 * n), "<u4").astype(np.int64)
             offsets = np.concatenate(([0], np.cumsum(counts)))
-            for row, rows in zip(g["row"], g["rows"], strict=True):
-                for r in range(row, row + rows):
-                    f.seek(16 + width * int(offsets[r]))
-                    raw = np.frombuffer(f.read(width * int(counts[r])), f"<u{width}")
-                    out.append((None if ids[r] == NULL_KEY else int(ids[r]), starts[shard] + int(offsets[r]), int(counts[r]), zlib.crc32(raw.astype("<u4").tobytes()), shard))
+            for r in np.flatnonzero(np.isin(ids, g["key"].to_numpy(np.int64))).tolist():
+                f.seek(16 + width * int(offsets[r]))
+                raw = np.frombuffer(f.read(width * int(counts[r])), f"<u{width}")
+                out.append((None if ids[r] == NULL_KEY else int(ids[r]), starts[shard] + int(offsets[r]), int(counts[r]), zlib.crc32(raw.astype("<u4").tobytes()), shard))
         own = pd.array([r[0] for r in out], "Int64")  # not through floats, which round large ids
         rest = pd.DataFrame([r[1:] for r in out], columns=["start", "n_tokens", "ids_crc32", "shard"])
         rest.insert(0, "doc_id", own)
         return rest
 
-    at = keys.select("key").distinct().withColumn("part", _part("key", parts)).groupBy("part").applyInPandas(find, "shard int, row bigint, rows bigint")
+    at = keys.select("key").distinct().withColumn("part", _part("key", parts)).groupBy("part").applyInPandas(find, "key bigint, shard int")
     return at.groupBy("shard").applyInPandas(fetch, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int")
 
 
-def token_output(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
+def token_output(docs: DataFrame, path: str, end: int = 0, ordered: bool = True) -> DataFrame:
     """Encode docs, write shards and index to the shared folder, and return what keyed access reads back from them.
 
-    doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32, shard. Null text is empty: the
-    end id alone. Rows that repeat a doc_id stay, next to each other; null ids come first under one key. An empty table
-    gives no rows. Other columns are ignored.
+    doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32, shard. Rows are written in
+    ascending doc_id order or, unless `ordered`, as they come, a shard for each partition. Null text is empty: the end id
+    alone. Rows that repeat a doc_id stay, all under its key; null ids have one key and come first where ordered. An empty
+    table gives no rows. Other columns are ignored.
     """
     root = new_path(docs.sparkSession, "tokens")
-    keys, starts, parts = write(docs, root, path, end)
+    keys, starts, parts = write(docs, root, path, end, ordered=ordered)
     return read(keys, root, starts, parts)

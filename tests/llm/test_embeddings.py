@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lectern.llm.embeddings import Code, Rules, near_vectors
 
@@ -35,17 +36,21 @@ def test_near_vectors_as_brute_force(spark):
     assert near_vectors(table.limit(0)).collect() == []
 
 
-def test_recall_of_filters_at_the_threshold():
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((1500, 64))
+@pytest.mark.parametrize("n", [10**4, 10**7, 10**9])
+def test_recall_of_filters_at_the_threshold(n):
+    """Pairs at a cosine of exactly 0.9 that share a filter of the code for n vectors, and the vectors that a filter holds."""
+    rng, rules = np.random.default_rng(5), Rules().scaled(n)
+    x = rng.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     noise = rng.standard_normal(x.shape)
     noise -= (noise * x).sum(1, keepdims=True) * x
     noise /= np.linalg.norm(noise, axis=1, keepdims=True)
     y = 0.9 * x + np.sqrt(1 - 0.81) * noise
-    code = Code(64, Rules())
-    shared = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.filters(x), code.filters(y), strict=True)]
-    assert np.mean(shared) > 0.98
+    code = Code(64, rules)
+    a, b = code.filters(x), code.filters(y)
+    shared = [len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]
+    assert np.mean(shared) > 0.97
+    assert np.mean([len(p) for p in a]) * n / rules.words**rules.blocks < 4 * max(rules.occupancy, n * 22 / 128**2 if n <= 512_000 else 0)
 
 
 def test_list_decoding_finds_every_filter():

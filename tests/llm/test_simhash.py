@@ -65,7 +65,16 @@ def test_links_by_tiles_and_by_join_connect_the_same(spark):
     fps = np.array(sorted(fps), np.uint64)
     nodes = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)}))
     near = {(min(a, b), max(a, b)) for i, a in enumerate(fps.view(np.int64).tolist()) for j, b in enumerate(fps.view(np.int64).tolist()) if j < i and int(fps[i] ^ fps[j]).bit_count() <= 4}
-    pairs = [(r.src, r.dst) for r in simhash.links(nodes, 4, hot=10**6).collect()]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == near
+    for agree in (2, 3):
+        pairs = [(r.src, r.dst) for r in simhash.links(nodes, 4, hot=10**6, agree=agree).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == near
+    assert simhash.agreeing(10**6, 4) == 2 and simhash.agreeing(10**9, 4) == 3
     whole = {(r.node, r.component) for r in components(simhash.links(nodes, 4, hot=10**6)).collect()}
     assert {(r.node, r.component) for r in components(simhash.links(nodes, 4, hot=8)).collect()} == whole
+
+
+def test_components_with_a_hub(spark):
+    edges = [(0, i) for i in range(1, 900)] + [(900 + i, 901 + i) for i in range(40)] + [(950, None), (951, 951), (1000, 3)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**dict.fromkeys(range(900), 0), 1000: 0, **dict.fromkeys(range(900, 941), 900)}
+    assert components(spark.createDataFrame([], "src long, dst long")).collect() == []

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -62,7 +63,7 @@ def test_contaminated_as_brute_force(spark):
 
 def test_line_dedup_as_brute_force(spark):
     rng = random.Random(8)
-    common = [f"a line that many sites share {i}" for i in range(30)]
+    common = [f"a line that many sites share {i}" for i in range(28)] + ["menu", "-"]
     rows = [(None, None, "s1"), (1, "", None), (2, "short\n\n", "s2"), (2, "short\n\n", "s2")]
     for i in range(10, 150):
         lines = [f"  {x} " if rng.random() < 0.2 else x for x in common if rng.random() < 0.1] + [f"own {i} {j} text" for j in range(3)]
@@ -71,7 +72,7 @@ def test_line_dedup_as_brute_force(spark):
     sites = defaultdict(set)
     for _, t, s in rows:
         for x in (t or "").split("\n"):
-            if len(x.strip(" ")) >= 12:
+            if x.strip(" "):
                 sites[x.strip(" ")].add(s or "")
     bad = {x for x, s in sites.items() if len(s) >= 6}
     assert 0 < len(bad) < 30
@@ -103,7 +104,7 @@ def test_mixing_as_brute_force(spark):
     size = Counter()
     for _, t, s in rows:
         size[s or ""] += len(t or "")
-    rate = {s: round(math.sqrt(n) / sum(map(math.sqrt, size.values())) * sum(size.values()) / n, 6) if n else 1.0 for s, n in size.items()}
+    rate = {s: math.sqrt(n) / sum(map(math.sqrt, size.values())) * sum(size.values()) / n if n else 1.0 for s, n in size.items()}
     want = Counter()
     for d, t, s in rows:
         key = "|".join(["42", s or "", "" if d is None else str(d), hashlib.md5((t or "").encode()).hexdigest()])
@@ -117,6 +118,19 @@ def test_mixing_as_brute_force(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
     heavy = mixing.mix(docs.filter("source = 'big'"), weights={"big": 1.0, "other": 2.0}).collect()
     assert abs(len(heavy) - 355) < 80 and {r.rate for r in heavy} == {1.0}
+    # a small weight counts: of 400,000 characters one in ten million
+    long = spark.createDataFrame([(i, "y" * 1000, "rare" if i % 2 else "usual") for i in range(400)], "doc_id long, text string, source string")
+    rates = {r.source: r.rate for r in mixing.rates(long, weights={"usual": 1.0, "rare": 1e-7}).collect()}
+    assert abs(rates["rare"] / 2e-7 - 1) < 1e-6
+
+
+def test_line_dedup_of_a_text_with_many_lines(spark):
+    text = "\n".join(f"shared {i}\nown {{}} {i}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, text.replace("{}", str(i)), f"s{i}") for i in range(3)], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs, min_sites=3).collect()}
+    assert time.time() - began < 60
+    assert got == {d: ("\n".join(f"own {d} {i}" for i in range(20_000)), 20_000) for d in range(3)}
 
 
 def test_poisson_has_its_mean_at_large_rates(spark):
@@ -133,7 +147,7 @@ def toxic_world(spark):
     rng = random.Random(12)
     syllables = ["ba", "ko", "mi", "tu", "re", "sa", "lo", "ni", "pe", "du"]
     word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
-    insults = ["blockhead", "nitwit", "zounderkite", "fopdoodle"]
+    insults = ["blockhead", "nitwit", "zounderkite", "fopdoodle", "fop", "go jump lake"]
     docs, labels = [], []
     for i in range(900):
         toxic = i % 4 == 0
@@ -161,3 +175,32 @@ def test_toxicity_on_held_out_rows(spark, toxic_world):
     assert kept == {r.doc_id for r in got if not r.predicted}
     assert toxicity.toxicity(d.limit(0), lab).collect() == []
     assert {r.score for r in toxicity.toxicity(d, lab.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_sees_short_insults_phrases_and_scripts_without_blanks():
+    assert toxicity.units("Ab c-漢字 x") == [b"ab", b"c", "漢".encode(), "字".encode(), b"x"]
+    assert toxicity.units("a" * 150) == [b"a" * 64, b"a" * 64, b"a" * 22]
+    ordinary = b"go to the lake and jump in the boat " + toxicity.HEAD + b"\n" + toxicity.TAIL
+    w = toxicity.Windows(ordinary, b"go jump lake " + "傻瓜".encode() + b" fop " + ordinary, toxicity.Rules())
+    plain, phrase, short = (w.counts(t) for t in ("go to the lake and jump", "now go jump lake please", "the fop was here"))
+    assert phrase[len(toxicity.WORD_STEPS) :].sum() > plain[len(toxicity.WORD_STEPS) :].sum()
+    assert short[: len(toxicity.WORD_STEPS)].sum() > 0
+    assert w.counts("").sum() == 0 and w.counts("fop").sum() > 0
+
+
+def test_margins_and_scores_as_a_plain_version(spark, toxic_world):
+    """The trained model, applied by a few lines of Python, gives the operator's scores."""
+    import zstandard as zstd
+
+    docs, labels = toxic_world
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.train(d, lab)
+    size = lambda content, x: len(zstd.ZstdCompressor(level=9, dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+    for _, t in docs[:6]:
+        words, counts = words_of(t), []
+        margin = lambda x: size(m.ordinary, (x := toxicity.HEAD + b" " + x + b" " + toxicity.TAIL)) - size(m.toxic, x)
+        single = [100 * margin(x) // len(x) for x in words]
+        long = [margin(b" ".join(words[i : i + 4])) for i in range(0, len(words) - 1, 2)]
+        counts = [sum(x >= s for x in single) for s in toxicity.WORD_STEPS] + [sum(x >= s for x in long) for s in toxicity.STRETCH_STEPS]
+        z = sum(w * math.log1p(c) for w, c in zip(m.weights[1:], counts, strict=True)) + m.weights[0]
+        assert abs(toxicity.Scorer(m, toxicity.Rules()).scores([t])[0] - 1 / (1 + math.exp(-z))) < 1e-9

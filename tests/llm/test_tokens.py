@@ -1,5 +1,6 @@
 """Counts and ids against the library on whole texts; the hash index and the files by round trip."""
 
+import io
 import random
 import time
 import zlib
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lectern.llm.common import new_path
+from lectern.llm.common import Store, new_path
 from lectern.llm.token_counts import Transducer, token_counts
 from lectern.llm.token_output import PerfectHash, read, token_output, write
 
@@ -115,7 +116,7 @@ def test_index_finds_its_keys_and_no_others(spark):
     keys, starts, parts = write(docs, root, BYTE, keys_per_part=20)
     assert parts > 1
     foreign = spark.range(100_000, 100_050).withColumnRenamed("id", "key")
-    assert read(foreign, root, starts, parts).count() <= 1
+    assert read(foreign, root, starts, parts).count() == 0
     assert read(keys.filter("key = 7"), root, starts, parts).count() == 3
 
 
@@ -126,3 +127,30 @@ def test_perfect_hash():
         assert sorted(slots.tolist()) == list(range(n)) and (h.slots(k) == slots).all()
         other = np.random.default_rng(99).integers(1 << 41, 1 << 42, 500).astype(np.uint64)
         assert (h.slots(other) >= 0).sum() <= 1
+
+
+def test_rows_as_they_come(spark):
+    """Unordered, shards keep the order of rows; a key finds its copies wherever they are; a key that shares the fingerprint
+    and the slot of another finds nothing."""
+    docs = spark.createDataFrame([(i % 50 if i % 7 else None, f"text {i}") for i in range(400)], "doc_id long, text string").repartition(5)
+    got = token_output(docs, BYTE, ordered=False).collect()
+    assert len(got) == 400 and len({r.shard for r in got}) == 5
+    placed = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert placed == [r.doc_id for part in docs.rdd.glom().collect() for r in part]
+    root = new_path(spark, "tokens")
+    keys, starts, parts = write(docs, root, BYTE, ordered=False)
+    assert read(spark.createDataFrame([(3,)], "key long"), root, starts, parts).count() == sum(i % 50 == 3 and i % 7 > 0 for i in range(400))
+
+
+def test_a_foreign_key_with_a_known_fingerprint(spark):
+    docs = spark.createDataFrame([(1, "one")], "doc_id long, text string")
+    root = new_path(spark, "tokens")
+    keys, starts, parts = write(docs, root, BYTE)
+    with Store(root).open("index-000000") as f:
+        index = dict(np.load(io.BytesIO(f.read())))
+    index["prints"] = PerfectHash.fingerprint(np.array([77], np.uint64))
+    out = io.BytesIO()
+    np.savez(out, **index)
+    Store(root).write("index-000000", [out.getbuffer()])
+    assert (PerfectHash(index["seeds"], index["prints"]).slots(np.array([77], np.uint64)) == 0).all()
+    assert read(spark.createDataFrame([(77,)], "key long"), root, starts, parts).count() == 0
