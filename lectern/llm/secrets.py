@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and strings in a sensitive context that zstandard cannot compress.
 
 A candidate's novelty is the number of bytes that it adds to a zstandard frame: under a dictionary of common identifiers
-and of the words that the corpus uses outside sensitive contexts, and under one of the identifiers and the text around the
+and of the words that rows without any sensitive word use, and under one of the identifiers and the text around the
 candidate without its own copies. The cheaper one counts. Words, identifiers and what the text repeats are cheap there;
 random key material is not. A string that is novel in a sensitive place is reported wherever it stands.
 
@@ -33,6 +33,8 @@ RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~!#$%&*@^-]+(?:\.[A-Za-z0-9+/_=~!#$%&*@^-]+)*")
 _SENSITIVE = r"passw|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer|session|cookie|signature|salt"
 SENSITIVE = re.compile(f"(?ai:{_SENSITIVE})")
+#: In small letters, what every sensitive word holds.
+MENTIONS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "session", "cookie", "signature", "salt")
 #: From a sensitive word to what it is set to.
 LINK = re.compile(r"""[A-Za-z0-9_-]{0,24}(?:[\s"'`=:>(\[{<|-]|(?:is|was|set|to|key|value|header|bearer|basic)\b)+""", re.I)
 #: The shape of words: letters, with one capital at most that begins it, or capitals alone.
@@ -184,10 +186,12 @@ def scan(text: str, novelty: Novelty | None = None, rules: Rules = Rules()) -> l
 
 
 def corpus_words(docs: DataFrame, rules: Rules = Rules()) -> str:
-    """The words of letters that most rows use outside sensitive contexts, commonest last. A secret stands in such a
-    context, so it does not get here however many rows repeat it. What comes to the driver is bounded by rules.words."""
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), f"(?is).{{0,{rules.before}}}(?:{_SENSITIVE}).{{0,{rules.reach}}}", " ")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(r"(?<![\p{L}\p{N}])\p{L}{4,24}(?![\p{L}\p{N}])"), F.lit(0)))).alias("w"))
+    """The words of letters that most rows without any sensitive word use, commonest last. A secret that counts stands in a
+    row with one, so it does not get here however many rows repeat it. What comes to the driver is bounded by rules.words."""
+    low = docs.select(F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    for mark in MENTIONS:
+        low = low.filter(~F.col("low").contains(mark))
+    words = low.select(F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"\p{L}{4,24}"), F.lit(0)))).alias("w"))
     top = words.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(rules.words).collect()
     return " ".join(r["w"] for r in reversed(top))
 
