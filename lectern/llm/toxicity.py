@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained on labelled text. The ordinary one is what zstandard's trainer selects from the
 lines of ordinary text; the toxic one holds the passages of one to three words that toxic lines use more often than chance
 allows, followed by the ordinary one, so that both cost the same wherever toxic text says nothing of its own. Windows
-slide over a text: every single word, and stretches of several words, so that an insult made of harmless words counts too.
+slide over a text: every single word, and stretches of several words, so that an insult made of harmless words counts too;
+stretches without two words of such insults need no look.
 A window is set between a head and a tail that both dictionaries hold; its margin is the compressed length under the
 ordinary dictionary less that under the toxic one. Thresholds on the margins give counts of windows, and a logistic curve
 over them, calibrated on the training rows, gives the score.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,24 +41,29 @@ LONGEST = 64
 
 class Rules(NamedTuple):
     """sample: most labelled rows to train on. lines, size: most pieces of ordinary lines for zstandard's trainer, and the
-    bytes that it may select. passages: most toxic passages. longest: words of a passage. surprise: how far, in nats beyond
-    the number of passages, an excess in toxic lines must go against chance. stretch, stride: words of a long window, and
+    bytes that it may select. candidates: most passages of toxic lines that are counted in ordinary ones. passages: most
+    toxic ones of one word and of several. longest: words of a passage. surprise: how far, in nats beyond the number of
+    lines, an excess in toxic lines must go against chance. stretch, stride: words of a long window, and
     from one to the next. level: of zstandard."""
 
     sample: int = 20_000
     lines: int = 40_000
     size: int = 16_384
+    candidates: int = 100_000
     passages: int = 4_000
     longest: int = 3
-    surprise: float = 3.0
+    surprise: float = 5.0
     stretch: int = 4
     stride: int = 2
     level: int = 9
 
 
 class Model(NamedTuple):
+    """The dictionaries, the words of toxic passages of several words, the curve's weights."""
+
     ordinary: bytes
     toxic: bytes
+    phrases: tuple[bytes, ...]
     weights: tuple[float, ...]  # bias first
 
 
@@ -71,11 +78,12 @@ def units(text: str) -> list[bytes]:
 class Windows:
     """Margins of windows under two dictionaries; those of single words are kept for a bounded number of words."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, rules: Rules, most: int = 500_000):
+    def __init__(self, ordinary: bytes, toxic: bytes, phrases: tuple[bytes, ...], rules: Rules, most: int = 500_000):
         import zstandard as zstd
 
         self.margins: dict[bytes, int] = {}
         self.rules, self.most, self.packs = rules, most, []
+        self.within = frozenset(phrases)
         for content in (ordinary, toxic):
             d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=rules.level)
@@ -95,8 +103,11 @@ class Windows:
         for w in need:
             self.margins[w] = 100 * self.margin(w) // len(w)
         single = np.fromiter(map(self.margins.__getitem__, words), np.int32, len(words))
-        # a text of one word has no stretch; else the last stretch ends with the text
-        long = np.array([self.margin(b" ".join(words[at : at + r.stretch])) for at in range(0, len(words) - 1, r.stride)], np.int32)
+        # a stretch can only match beyond its single words where two of them stand in longer toxic passages
+        held = np.concatenate(([0], np.cumsum(np.fromiter(map(self.within.__contains__, words), np.int32, len(words)))))
+        starts = np.arange(0, max(0, len(words) - 1), r.stride)
+        starts = starts[held[np.minimum(starts + r.stretch, len(words))] - held[starts] > 1].tolist()
+        long = np.array([self.margin(b" ".join(words[at : at + r.stretch])) for at in starts], np.int32)
         return np.array([*((single >= s).sum() for s in WORD_STEPS), *((long >= s).sum() for s in STRETCH_STEPS)])
 
 
@@ -137,21 +148,44 @@ def trained(lines: list[bytes], size: int) -> bytes:
     return b"\n".join(lines)
 
 
-def _uses(lines: DataFrame, rules: Rules) -> DataFrame:
-    """passage, words, t, c: lines of toxic and of ordinary text that hold a passage."""
+def passages(line: str, longest: int) -> set[bytes]:
+    """The stretches of up to `longest` words."""
+    w = units(line)
+    return {b" ".join(w[i : i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)}
+
+
+def _lines_with(lines: DataFrame, rules: Rules, known: frozenset[bytes] | None = None) -> DataFrame:
+    """passage, n: how many lines hold it; only known ones if they are given. Batches are counted before the exchange."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 500):
-                part, out = b.iloc[at : at + 500], []
-                for t, y in zip(part["line"], part["y"], strict=True):
-                    w = units(t)
-                    for n in range(1, rules.longest + 1):
-                        out += [(p, n, y) for p in {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}]
-                yield pd.DataFrame(out, columns=["passage", "words", "y"])
-
-    found = lines.mapInPandas(run, "passage binary, words int, y int").groupBy("passage", "words")
-    return found.agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+            found = Counter()
+            for t in b["line"]:
+                here = passages(t, rules.longest)
+                found.update(here if known is None else known.intersection(here))
+            yield pd.DataFrame({"passage": list(found), "n": list(found.values())})
+
+    return lines.select("line").mapInPandas(run, "passage binary, n bigint").groupBy("passage").agg(F.sum("n").alias("n"))
+
+
+def toxic_passages(lines: DataFrame, rules: Rules) -> list[bytes]:
+    """Passages that toxic lines use more often than chance allows, single words first, the most telling first of each."""
+    total = {r["y"]: r["n"] for r in lines.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = total[1] / (total[0] + total[1])
+    # a passage needs some uses to go against chance at all, so those that toxic lines hardly use are not counted on
+    often = _lines_with(lines.filter("y = 1"), rules).filter(F.col("n") > 2).orderBy(F.desc("n"), "passage").limit(rules.candidates).collect()
+    toxic = {bytes(r["passage"]): r["n"] for r in often}
+    ordinary = {bytes(r["passage"]): r["n"] for r in _lines_with(lines.filter("y = 0"), rules, frozenset(toxic)).collect()}
+    part = lambda k, n, p: k * math.log(k / (n * p)) if k else 0.0
+    found = []
+    for w, t in toxic.items():
+        n = t + (c := ordinary.get(w, 0))
+        excess = part(t, n, share) + part(c, n, 1 - share)
+        if t > n * share and t >= 3 * c and excess >= math.log(total[0] + total[1]) + rules.surprise:
+            found.append((-excess, w))
+    words = [w for _, w in sorted(found) if b" " not in w][: rules.passages]
+    longer = [w for _, w in sorted(found) if b" " in w][: rules.passages]
+    return [*words, *(p for p in longer if set(words).isdisjoint(p.split(b" ")))]  # those that hold no toxic word
 
 
 def train(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model | None:
@@ -160,21 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model |
     if {r["y"] for r in rows.select("y").distinct().collect()} != {0, 1}:
         return None
     # copies share their lines, so each line counts once for each label
-    lines = rows.select(F.explode(F.split("text", "\n")).alias("line"), "y").distinct()
-    uses = materialise(_uses(lines, rules), "toxic-passages")
-    total = uses.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("v")).first()
-    if not total["t"] or not total["c"]:
-        return None
-    share = total["t"] / (total["t"] + total["c"])
-    n = F.col("t") + F.col("c")
-    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
-    excess = part(F.col("t"), share) + part(F.col("c"), 1 - share)
-    enriched = uses.filter((F.col("t") > n * share) & (F.col("t") >= 3 * F.col("c"))).withColumn("excess", excess)
-    enriched = enriched.filter(F.col("excess") >= math.log(total["v"]) + rules.surprise).orderBy(F.desc("excess"), "passage")
-    words = [bytes(r["passage"]) for r in enriched.filter("words = 1").limit(rules.passages).collect()]
-    held = set(words)
-    longer = [bytes(r["passage"]) for r in enriched.filter("words > 1").limit(rules.passages).collect()]
-    toxic = [*words, *(p for p in longer if held.isdisjoint(p.split(b" ")))]  # those that hold no toxic word
+    lines = materialise(rows.select(F.explode(F.split("text", "\n")).alias("line"), "y").distinct(), "toxic-lines")
+    toxic = toxic_passages(lines, rules)
 
     piece = F.explode(F.expr("transform(sequence(1, greatest(length(line), 1), 512), at -> substring(line, at, 512))"))
     plain = lines.filter("y = 0").select(piece.alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(rules.lines).collect()
@@ -182,9 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model |
     # the end of a dictionary is nearest to the window: there both are the same
     common = b" ".join([usual, HEAD + b"\n" + TAIL])
     own = b" ".join([*reversed(toxic), common])
+    phrases = tuple(sorted({w for p in toxic if b" " in p for w in p.split(b" ")}))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = Windows(common, own, rules)
+        w = Windows(common, own, phrases, rules)
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "n": [w.counts(t).tolist() for t in b["text"]]})
 
@@ -192,13 +214,13 @@ def train(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> Model |
     got.sort(key=lambda r: (r["y"], r["n"]))
     x = _x(np.array([r["n"] for r in got], float))
     y, k = np.array([r["y"] for r in got], float), np.array([r["k"] for r in got])
-    return Model(common, own, tuple(fit(np.repeat(x, k, axis=0), np.repeat(y, k))))
+    return Model(common, own, phrases, tuple(fit(np.repeat(x, k, axis=0), np.repeat(y, k))))
 
 
 class Scorer:
     def __init__(self, model: Model | None, rules: Rules):
         self.model = model
-        self.windows = model and Windows(model.ordinary, model.toxic, rules)
+        self.windows = model and Windows(model.ordinary, model.toxic, model.phrases, rules)
 
     def scores(self, texts) -> np.ndarray:
         if self.model is None or not len(texts):

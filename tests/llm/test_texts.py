@@ -181,7 +181,7 @@ def test_toxicity_sees_short_insults_phrases_and_scripts_without_blanks():
     assert toxicity.units("Ab c-漢字 x") == [b"ab", b"c", "漢".encode(), "字".encode(), b"x"]
     assert toxicity.units("a" * 150) == [b"a" * 64, b"a" * 64, b"a" * 22]
     ordinary = b"go to the lake and jump in the boat " + toxicity.HEAD + b"\n" + toxicity.TAIL
-    w = toxicity.Windows(ordinary, b"go jump lake " + "傻瓜".encode() + b" fop " + ordinary, toxicity.Rules())
+    w = toxicity.Windows(ordinary, b"go jump lake " + "傻瓜".encode() + b" fop " + ordinary, (b"go", b"jump", b"lake"), toxicity.Rules())
     plain, phrase, short = (w.counts(t) for t in ("go to the lake and jump", "now go jump lake please", "the fop was here"))
     assert phrase[len(toxicity.WORD_STEPS) :].sum() > plain[len(toxicity.WORD_STEPS) :].sum()
     assert short[: len(toxicity.WORD_STEPS)].sum() > 0
@@ -200,7 +200,7 @@ def test_margins_and_scores_as_a_plain_version(spark, toxic_world):
         words, counts = words_of(t), []
         margin = lambda x: size(m.ordinary, (x := toxicity.HEAD + b" " + x + b" " + toxicity.TAIL)) - size(m.toxic, x)
         single = [100 * margin(x) // len(x) for x in words]
-        long = [margin(b" ".join(words[i : i + 4])) for i in range(0, len(words) - 1, 2)]
+        long = [margin(b" ".join(x)) for i in range(0, len(words) - 1, 2) if sum(w in m.phrases for w in (x := words[i : i + 4])) > 1]
         counts = [sum(x >= s for x in single) for s in toxicity.WORD_STEPS] + [sum(x >= s for x in long) for s in toxicity.STRETCH_STEPS]
         z = sum(w * math.log1p(c) for w, c in zip(m.weights[1:], counts, strict=True)) + m.weights[0]
         assert abs(toxicity.Scorer(m, toxicity.Rules()).scores([t])[0] - 1 / (1 + math.exp(-z))) < 1e-9
