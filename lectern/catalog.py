@@ -11,6 +11,7 @@ from .operators import align as L
 from .operators import lookups as J
 from .operators import structure as H
 from .operators import timing as A
+from .plans import book as B
 from .plans import package as K
 from .session import ship
 from .sources import derived as D
@@ -199,9 +200,10 @@ _on_markup("F21_reading_length", lambda c: F.length(T.normalize_text(c)), f"leng
 _on_html("F10_normalize_xhtml", T.normalize_xhtml, "translate(" + _sub("para", (r"<ruby><rb>.*?</rb><rt>(.*?)</rt></ruby>", r"\1"), (r'<span[^>]*data-yomi="([^"]*)"[^>]*>.*?</span>', r"\1"), (r"<[^>]+>", "")) + f", '{X.BRACKETS}{X.FULL_DIGITS}', '{X.PLAIN_BRACKETS}{X.DIGITS}')")
 _on_html("F17_strip_tags", T.strip_tags, _sub("para", (r"<ruby><rb>(.*?)</rb><rt>.*?</rt></ruby>", r"\1"), (r"<[^>]+>", "")))
 _on_html("F23_escape", T.escape, _replaced(_ESC, "para"))
-_on_markup("P03_unclosed", lambda c: T.unclosed(F.substring(c, F.lit(1), (F.length(c) / 2).cast("int"))), (lambda t: f"(contains({t}, '[') AND NOT contains({t}, ']{{.underline}}') AND NOT contains({t}, ']{{.frame}}')) OR ((length({t}) - length(replace({t}, '**', ''))) // 2) % 2 <> 0 OR (length({t}) - length(replace({t}, '~', ''))) % 2 <> 0 OR (length({t}) - length(replace({t}, '^', ''))) % 2 <> 0")(_sub("substr(line, 1, (length(line) // 2)::INTEGER)", *[(p, "") for p in (X.IMAGE, X.RUBY, X.SPOKEN, X.UNDERLINE, X.FRAME, X.STRONG)])), "open")
+_LOST = r"(\)|\}|~ |\^ )$|\*\* "  # closing marks that get lost: those that end a line, and bold ones before a blank
+_on_markup("P03_unclosed", lambda c: T.unclosed(T.swap(c, _LOST, "")), (lambda t: f"(contains({t}, '[') AND NOT contains({t}, ']{{.underline}}') AND NOT contains({t}, ']{{.frame}}')) OR ((length({t}) - length(replace({t}, '**', ''))) // 2) % 2 <> 0 OR (length({t}) - length(replace({t}, '~', ''))) % 2 <> 0 OR (length({t}) - length(replace({t}, '^', ''))) % 2 <> 0")(_sub(f"regexp_replace(line, '{_LOST}', '', 'g')", *[(p, "") for p in (X.IMAGE, X.RUBY, X.SPOKEN, X.UNDERLINE, X.FRAME, X.STRONG)])), "open")
 _on_markup("P04_image_only", T.image_only, f"regexp_matches(line, '{X.IMAGE}') AND {_sub(_sub('line', (X.IMAGE, '')), (X.BLANKS, ''))} = ''", "image_only")
-_on_markup("P05_speakable", T.speakable, "regexp_matches(line, '[A-Za-z0-9぀-ゟ゠-ヿ一-鿿]')", "speakable")
+_on_markup("P05_speakable", T.speakable, f"regexp_matches(line, '{X.SPEAKABLE}')", "speakable")
 _on_markup("P09_ends_group", T.ends_group, rf"regexp_matches(line, '[{X.ENDS}]$') AND NOT regexp_matches(line, '\{{\.$')", "ends")
 
 
@@ -215,10 +217,15 @@ def P06_math(spark, sf):
     return docs(spark, sf).select("doc_id", T.has_math(F.coalesce("text", F.lit(""))).alias("has_math"))
 
 
-@query(f"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages WHERE regexp_extract(url, '([^/]*)$', 1) IN ({', '.join(repr(r) for r in X.RESERVED)})")
+_CHAPTER_FILE = ["audio.txt", "a.txt", "audio.wav", "audio.mp4", "audio.TextGrid", "b.mp3", "audio.mp3"]
+
+
+@query(f"SELECT page_id, name FROM (SELECT page_id, ([{', '.join(repr(x) for x in _CHAPTER_FILE)}])[(page_id % {len(_CHAPTER_FILE)} + 1)::INTEGER] AS name FROM pages) WHERE name IN ({', '.join(repr(r) for r in X.RESERVED)})")
 def P07_reserved(spark, sf):
+    """Files (here: a name for each page, of which some are reserved) that may not be called so."""
     reserved = spark.createDataFrame([(r,) for r in X.RESERVED], "name string")  # four rows
-    return D.table(spark, sf, "pages").select("page_id", T.file_name(F.col("url")).alias("name")).join(F.broadcast(reserved), "name", "left_semi")
+    name = F.element_at(F.array(*[F.lit(x) for x in _CHAPTER_FILE]), (F.col("page_id") % len(_CHAPTER_FILE) + 1).cast("int"))
+    return D.table(spark, sf, "pages").select("page_id", name.alias("name")).join(F.broadcast(reserved), "name", "left_semi")
 
 
 # -- structure --------------------------------------------------------------
@@ -334,9 +341,8 @@ def A03_overlap_clips(spark, sf):
     """Spans are segments; intervals hold three words each, so most straddle a span."""
     seg = D.segments(D.lines(docs(spark, sf)))
     spans = A.offsets(seg, F.length(F.replace("seg", F.lit(" "), F.lit(""))).cast("bigint"), "seg_no")
-    w = D.words(seg)
-    i = D.intervals(w).join(w, ["doc_id", "line_no", "seg_no", "word_no"]).groupBy("doc_id", "line_no", F.expr("idx div 3").alias("g"))
-    i = i.agg(F.min("begin_ms").alias("begin_ms"), F.max("end_ms").alias("end_ms"), F.sum(F.length("word")).alias("n"))
+    i = D.intervals(D.words(seg)).groupBy("doc_id", "line_no", F.expr("idx div 3").alias("g"))
+    i = i.agg(F.min("begin_ms").alias("begin_ms"), F.max("end_ms").alias("end_ms"), F.sum("length").alias("n"))
     return A.overlap_clips(spans, A.offsets(i, F.col("n"), "g"))
 
 
@@ -406,24 +412,62 @@ def A13_offset_map(spark, sf):
 # -- lookups ----------------------------------------------------------------
 
 _NAME = "regexp_extract(url, '([^/]*)$', 1)"
-_NATURAL = f"array_to_string([CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 20, '0') ELSE p END FOR p IN regexp_extract_all(lower({_NAME}), '([0-9]+|[^0-9]+)', 1)], chr(1))"
+_NATURAL = f"CASE WHEN regexp_matches({_NAME}, '^[0-9]') THEN chr(1) ELSE '' END || array_to_string([CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(length(regexp_replace(p, '^0+', ''))::VARCHAR, 6, '0') || regexp_replace(p, '^0+', '') ELSE p END FOR p IN regexp_extract_all(lower({_NAME}), '([0-9]+|[^0-9]+)', 1)], chr(1))"
+
+
+_STEMS = f"""src AS (SELECT regexp_replace({_NAME}, '\\.[^.]+$', '') AS stem, count(*) AS n, min(page_id) AS page_id FROM pages GROUP BY 1
+), aud AS (SELECT regexp_replace({_NAME}, '\\.[^.]+$', '') || CASE WHEN page_id % 9 = 4 THEN '_' ELSE '' END AS stem, count(*) AS n, min(page_id) AS audio_id FROM pages GROUP BY 1)"""
+
 
+def _stem_sides(spark, sf):
+    """A source for each page and an audio file beside it, of which some have a misspelt name."""
+    p, name = D.table(spark, sf, "pages"), F.col("url")
+    audio = F.concat(T.stem(name), F.when(F.col("page_id") % 9 == 4, "_").otherwise(""), F.lit(".mp3"))
+    return p.select("page_id", F.col("url").alias("source")), p.select(F.col("page_id").alias("audio_id"), audio.alias("audio")), "source", "audio"
 
-@query(f"""WITH a AS (SELECT page_id, regexp_replace({_NAME}, '\\.[^.]+$', '') AS stem FROM pages WHERE page_id % 2 = 0), b AS (SELECT page_id AS audio_id, regexp_replace({_NAME}, '\\.[^.]+$', '') AS stem FROM pages)
-SELECT stem, page_id, audio_id FROM a JOIN b USING (stem)""")
+
+@query(f"WITH {_STEMS} SELECT stem, page_id, audio_id FROM src JOIN aud USING (stem) WHERE src.n = 1 AND aud.n = 1")
 def J01_by_stem(spark, sf):
-    """Sources (every other page) with the files of the same stem."""
-    p = D.table(spark, sf, "pages")
-    left = p.filter("page_id % 2 = 0").select("page_id", F.col("url").alias("source"))
-    return J.by_stem(left, p.select(F.col("page_id").alias("audio_id"), F.col("url").alias("audio")), "source", "audio").select("stem", "page_id", "audio_id")
+    """Sources with the one file of their stem."""
+    return J.by_stem(*_stem_sides(spark, sf)).select("stem", "page_id", "audio_id")
+
+
+@query(f"WITH {_STEMS} SELECT stem, coalesce(src.n, 0) AS n_left, coalesce(aud.n, 0) AS n_right FROM src FULL JOIN aud USING (stem) WHERE coalesce(src.n, 0) <> 1 OR coalesce(aud.n, 0) <> 1")
+def J01_audit(spark, sf):
+    """Stems that are not there once on either side; the reference would refuse the book."""
+    return J.by_stem_audit(*_stem_sides(spark, sf))
+
 
+_SIDECARS = """books AS (SELECT DISTINCT conv_id AS book_id, 'books/b' || conv_id || '_metadata.txt' AS path FROM conversations
+), sides AS (SELECT CASE WHEN conv_id % 10 = 3 THEN 'books/x' ELSE 'books/b' END || conv_id || '_metadata.txt' AS path, max(CASE WHEN conv_id % 10 <> 7 THEN 'conv ' || conv_id END) AS title FROM conversations GROUP BY conv_id)"""
 
-@query(f"""WITH refs AS (SELECT page_id, {_NAME} AS ref FROM pages), files AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN 'images/' || {_NAME} ELSE {_NAME} END AS path FROM pages WHERE page_id % 4 <> 1)
+
+def _sidecars(spark, sf):
+    """A book for each conversation, its sidecar beside it; some are misplaced, some hold no title."""
+    c = D.table(spark, sf, "conversations").select(F.col("conv_id").alias("book_id")).distinct()
+    own = F.col("book_id").cast("string")
+    title = F.when(F.col("book_id") % 10 != 7, F.concat(F.lit("conv "), own))
+    there = F.concat(F.when(F.col("book_id") % 10 == 3, "books/x").otherwise("books/b"), own, F.lit("_metadata.txt"))
+    return c.select("book_id", F.concat(F.lit("books/b"), own, F.lit(".md")).alias("path")), c.select(there.alias("path"), title.alias("title"))
+
+
+@query(f"WITH {_SIDECARS} SELECT book_id, title FROM books JOIN sides USING (path) WHERE title IS NOT NULL")
+def J02_book_metadata(spark, sf):
+    return J.book_metadata(*_sidecars(spark, sf)).select("book_id", "title")
+
+
+@query(f"WITH {_SIDECARS} SELECT book_id, CASE WHEN sides.path IS NULL THEN 'file missing' ELSE 'title missing' END AS fault FROM books LEFT JOIN sides USING (path) WHERE title IS NULL")
+def J02_audit(spark, sf):
+    return J.book_metadata_audit(*_sidecars(spark, sf))
+
+
+@query(f"""WITH refs AS (SELECT page_id, {_NAME} AS ref FROM pages), files AS (SELECT DISTINCT CASE WHEN page_id % 4 = 1 THEN 'lost/' WHEN page_id % 3 = 0 THEN 'images/' ELSE '' END || {_NAME} AS path FROM pages)
 SELECT page_id, ref, coalesce(d.path, f.path) AS found FROM refs LEFT JOIN files d ON ref = d.path LEFT JOIN files f ON 'images/' || ref = f.path""")
 def J05_resolve(spark, sf):
+    """A reference for each page; its file lies beside it, under images, or where nobody looks."""
     p, name = D.table(spark, sf, "pages"), T.file_name(F.col("url"))
-    files = p.filter("page_id % 4 <> 1").select(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("images/"), name)).otherwise(name).alias("path")).distinct()
-    return J.resolve(p.select("page_id", name.alias("ref")), files)
+    folder = F.when(F.col("page_id") % 4 == 1, "lost/").when(F.col("page_id") % 3 == 0, "images/").otherwise("")
+    return J.resolve(p.select("page_id", name.alias("ref")), p.select(F.concat(folder, name).alias("path")).distinct())
 
 
 _MEDIA = "CASE lower(regexp_extract({0}, '(\\.[^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.MEDIA_TYPES.items()) + f" ELSE '{X.OTHER_MEDIA}' END"
@@ -436,11 +480,11 @@ def J07_media_type(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.media_type(name).alias("media_type"))
 
 
-@query(f"WITH {D.lines_sql()}, {D.segments_sql()}, {D.WORDS_SQL}, w AS (SELECT lower(word) AS word, min(doc_id) AS first_doc, count(*) AS n FROM words GROUP BY 1), known AS (SELECT DISTINCT lower(coalesce(role, '')) AS word FROM conversations UNION SELECT DISTINCT lower(word) FROM words WHERE doc_id % 2 = 0) SELECT w.* FROM w WHERE word NOT IN (SELECT word FROM known)")
+@query(f"WITH {D.lines_sql()}, {D.segments_sql()}, {D.WORDS_SQL}, w AS (SELECT lower(word) AS word, min(doc_id) AS first_doc, count(*) AS n FROM words GROUP BY 1), known AS (SELECT DISTINCT lower(coalesce(role, '')) AS word FROM conversations UNION SELECT DISTINCT lower(word) FROM words WHERE length(word) % 2 = 0) SELECT w.* FROM w WHERE word NOT IN (SELECT word FROM known)")
 def J08_unregistered(spark, sf):
-    """Words of the corpus that a dictionary (the words of documents with even ids, and the roles) lacks."""
+    """Words of the corpus that a dictionary (the words of an even length, and the roles) lacks."""
     w = D.words(D.segments(D.lines(docs(spark, sf)))).withColumn("word", F.lower("word"))
-    known = D.table(spark, sf, "conversations").select(F.lower(F.coalesce("role", F.lit(""))).alias("word")).union(w.filter("doc_id % 2 = 0").select("word")).distinct()
+    known = D.table(spark, sf, "conversations").select(F.lower(F.coalesce("role", F.lit(""))).alias("word")).union(w.filter("length(word) % 2 = 0").select("word")).distinct()
     return J.unregistered(w.groupBy("word").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), known)
 
 
@@ -516,18 +560,23 @@ def K06_nav_flat(spark, sf):
     return K.nav_flat(H.chapters(book_lines(spark, sf)))
 
 
-@query()
+@query(f"""WITH {_CHAPTERS}, t AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY doc_id ORDER BY chapter_no), 0) AS nxt FROM chapters
+), opened AS (SELECT i.doc_id, i.chapter_no FROM t i JOIN t j ON j.doc_id = i.doc_id AND j.chapter_no < i.chapter_no JOIN t k ON k.doc_id = i.doc_id AND k.chapter_no > j.chapter_no AND k.chapter_no <= i.chapter_no
+  GROUP BY i.doc_id, i.chapter_no, i.nxt, j.chapter_no, j.level HAVING min(k.level) > j.level AND i.nxt <= j.level
+), closed AS (SELECT doc_id, chapter_no, count(*) AS n FROM opened GROUP BY ALL)
+SELECT doc_id, '<ol>' || string_agg('<li><a href="' || chapter_id || '.xhtml">' || {_esc('title')} || '</a>' || CASE WHEN nxt > level THEN '<ol>' ELSE repeat('</li></ol>', coalesce(n, 0)::INTEGER) || '</li>' END, '' ORDER BY chapter_no) || '</ol>' AS nav
+FROM t LEFT JOIN closed USING (doc_id, chapter_no) GROUP BY doc_id""")
 def K07_nav_nested(spark, sf):
     return K.nav_nested(H.chapters(book_lines(spark, sf)))
 
 
-_IMAGES = "imgs AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, 't' || turn || CASE WHEN turn % 2 = 0 THEN '.png' ELSE '.gif' END AS name FROM conversations WHERE turn % 3 = 0)"
+_IMAGES = "imgs AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, 't' || turn || CASE WHEN turn % 2 = 0 THEN '.png' ELSE '.gif' END AS name FROM conversations)"
 
 
 def _images(spark, sf):
     from pyspark.sql import Window
 
-    t = D.table(spark, sf, "conversations").filter("turn % 3 = 0")
+    t = D.table(spark, sf, "conversations")
     name = F.concat(F.lit("t"), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, ".png").otherwise(".gif"))
     return t.select(F.col("conv_id").alias("doc_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("n"), name.alias("name"))
 
@@ -557,8 +606,9 @@ def K08_opf(spark, sf):
 
 
 def _noisy(spark, sf):
-    """Timed words as a real aligner leaves them: every seventh missing, every thirteenth misheard."""
-    return D.timed(spark, sf).filter("idx % 7 <> 6").withColumn("label", F.when(F.col("idx") % 13 == 12, F.concat(F.lit("zz"), F.col("label"))).otherwise(F.col("label")))
+    """Timed words as a real aligner leaves them: every seventh unknown, every thirteenth misheard."""
+    label = F.when(F.col("idx") % 7 == 6, "<unk>").when(F.col("idx") % 13 == 12, F.concat(F.lit("zz"), F.col("label"))).otherwise(F.col("label"))
+    return D.timed(spark, sf).withColumn("label", label)
 
 
 @query()
@@ -590,7 +640,7 @@ def S02_xml_books(spark, sf):
     return S.read_xml_books(_xml(spark, sf))
 
 
-@query()
+@query(f"WITH {D.TIMED_SQL} SELECT doc_id::VARCHAR AS path, idx, label, begin_ms, end_ms, max(end_ms) OVER (PARTITION BY doc_id) AS max_ms FROM intervals")
 def S08_textgrids(spark, sf):
     """Timed words written as TextGrids and read again."""
     ship(spark)
@@ -637,10 +687,11 @@ def S05_sidecars(spark, sf):
 @query("""WITH books AS (SELECT DISTINCT conv_id AS book_id FROM conversations), titles AS (SELECT DISTINCT conv_id AS book_id FROM conversations WHERE turn % 2 = 1 AND (conv_id + turn) % 4 <> 0)
 SELECT book_id, 'title missing' AS fault FROM books WHERE book_id NOT IN (SELECT book_id FROM titles)""")
 def S07_metadata_audit(spark, sf):
-    """Books whose metadata hold no title (here: no odd turn whose value is there)."""
+    """Books whose metadata hold no title. Odd turns give a title, some a blank one, the others an author."""
     t = D.table(spark, sf, "conversations")
-    line = F.concat(F.lit("title:"), F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, " ").otherwise("x"))
-    meta = J.metadata(t.filter("turn % 2 = 1").select(F.col("conv_id").alias("book_id"), F.col("turn").cast("int").alias("line_no"), line.alias("line")))
+    key = F.when(F.col("turn") % 2 == 1, "title:").otherwise("author:")
+    line = F.concat(key, F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, " ").otherwise("x"))
+    meta = J.metadata(t.select(F.col("conv_id").alias("book_id"), F.col("turn").cast("int").alias("line_no"), line.alias("line")))
     books = t.select(F.col("conv_id").alias("book_id")).distinct()
     return books.join(meta.filter("title IS NOT NULL").select("book_id"), "book_id", "left_anti").withColumn("fault", F.lit("title missing"))
 
@@ -719,3 +770,75 @@ def H11_flattened(spark, sf):
     p = D.paragraphs_html(D.table(spark, sf, "pages"))
     whole = K.ordered_text(p, "page_id", "para_no", T.swap(F.col("para"), "<[^>]+>", ""), "text", "\n")
     return whole.join(p.groupBy("page_id").agg(F.count(F.when(F.col("para") != "", 1)).alias("n_paragraphs")), "page_id")
+
+
+# -- books -------------------------------------------------------------------
+
+_CLOCK = "({0} // 1000) || '.' || lpad(({0} % 1000)::VARCHAR, 3, '0')"
+_BOOK_SQL = f"""{_CHAPTERS}, secs AS (SELECT *, (sum((level > 0)::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no))::INTEGER AS section_no FROM heads
+), said AS (SELECT doc_id, section_no, line_no, level > 0 AS heading, CASE WHEN level > 0 THEN title ELSE line END AS line FROM secs WHERE section_no > 0
+), {D.segments_sql(source="said")}, {D.WORDS_SQL}, {D.INTERVALS_SQL}, clips AS (SELECT doc_id, line_no, seg_no, min(begin_ms) AS b, max(end_ms) AS e FROM intervals GROUP BY ALL
+), ids AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, seg_no) AS n FROM clips
+), els AS (SELECT *, 's' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INTEGER, '0') AS el FROM ids
+), spans AS (SELECT s.doc_id, section_no, line_no, heading, seg_no, seg, el, b, e FROM segments s JOIN said USING (doc_id, line_no) LEFT JOIN els USING (doc_id, line_no, seg_no)
+), paras AS (SELECT s.doc_id, section_no, line_no, heading, c.level, string_agg(CASE WHEN el IS NULL THEN {_esc('seg')} ELSE '<span id="' || el || '"' || CASE WHEN contains({_esc('seg')}, 'display="block"') THEN ' style="display: block;"' ELSE '' END || '>' || {_esc('seg')} || '</span>' END, '' ORDER BY seg_no) AS inside,
+  string_agg(CASE WHEN el IS NULL THEN '' ELSE '<par id="par_' || el || '"><text src="' || chapter_id || '.xhtml#' || el || '"/><audio src="audio.mp3" clipBegin="' || {_CLOCK.format('b')} || 's" clipEnd="' || {_CLOCK.format('e')} || 's"/></par>' END, '' ORDER BY seg_no) AS pars, count(el) AS n, min(b) AS b, max(e) AS e
+  FROM spans s JOIN chapters c ON c.doc_id = s.doc_id AND c.chapter_no = s.section_no GROUP BY ALL
+), bodies AS (SELECT doc_id, section_no AS chapter_no, string_agg(CASE WHEN heading THEN '<h' || greatest(1, least(6, level)) || '>' || inside || '</h' || greatest(1, least(6, level)) || '>' ELSE '<p>' || inside || '</p>' END, '' ORDER BY line_no) AS body,
+  string_agg(pars, '' ORDER BY line_no) AS pars, sum(n)::BIGINT AS n_pars, max(e) - min(b) AS duration_ms FROM paras GROUP BY ALL)"""
+
+
+@query(f"""WITH {_BOOK_SQL} SELECT doc_id, chapter_no, chapter_id, '<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="en" lang="en"><head><title>' || {_esc('title')} || '</title></head><body>' || coalesce(body, '') || '</body></html>' AS xhtml,
+  '<smil xmlns="http://www.w3.org/ns/SMIL" version="3.0"><body>' || coalesce(pars, '') || '</body></smil>' AS smil, coalesce(n_pars, 0) AS n_pars, coalesce(duration_ms, 0) AS duration_ms FROM chapters LEFT JOIN bodies USING (doc_id, chapter_no)""")
+def K14_book(spark, sf):
+    """Chapters of books of marked-up text: spans with ids, and overlays whose pars refer to them."""
+    ln = book_lines(spark, sf)
+    return B.assemble(B.text_spans(ln), H.chapters(ln))
+
+
+@query()
+def K14_packages(spark, sf):
+    """Whole packages: chapters, overlays, navigation, package document with durations."""
+    ship(spark)
+    ln = book_lines(spark, sf)
+    made = B.assemble(B.text_spans(ln), H.chapters(ln))
+    c = H.chapters(ln).join(made.select("doc_id", "chapter_no", "duration_ms"), ["doc_id", "chapter_no"])
+    times = K.timed_elements(c)
+    meta = times.select("doc_id", F.concat(F.lit("conv "), F.col("doc_id").cast("string")).alias("title"), F.concat(K.optional_elements(language=F.lit("en")), F.col("times")).alias("optional"))
+    opf = K.opf(c, _images(spark, sf), meta, "2026-01-01T00:00:00Z", F.concat(F.lit("book-"), F.col("doc_id").cast("string")))
+    part = lambda df, name, x: df.select(F.col("doc_id").alias("book_id"), name.alias("name"), x.cast("binary").alias("data"))
+    members = part(made, F.concat("chapter_id", F.lit(".xhtml")), F.col("xhtml")).union(part(made, F.concat("chapter_id", F.lit(".smil")), F.col("smil")))
+    members = members.union(part(K.nav_nested(c), F.lit("nav.xhtml"), F.col("nav"))).union(part(opf, F.lit("content.opf"), F.col("opf")))
+    members = members.union(part(times, F.lit("styles/style.css"), F.lit(Z.CSS)))
+    return Z.packages(members)
+
+
+_PLAIN_SQL = f"""{D.lines_sql(name="raw_lines")}, lines AS (SELECT doc_id, line_no, translate(line, '<>', '  ') AS line FROM raw_lines), {D.segments_sql()}, {D.WORDS_SQL}, {D.INTERVALS_SQL}"""
+
+
+@query(f"""WITH {_PLAIN_SQL}, said AS (SELECT i.doc_id, i.line_no, i.seg_no, min(i.begin_ms) AS begin_ms, max(i.end_ms) AS end_ms FROM intervals i JOIN words w USING (doc_id, line_no, seg_no, word_no) WHERE {_sub('w.word', (X.SKIPPED, ''))} <> '' GROUP BY ALL
+), numbered_segs AS (SELECT doc_id, line_no, seg_no, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, seg_no) - 1)::INTEGER AS data_index FROM segments)
+SELECT doc_id, line_no, data_index, begin_ms, end_ms FROM numbered_segs LEFT JOIN said USING (doc_id, line_no, seg_no)""")
+def A03_align_spans(spark, sf):
+    """The sequential form on clean input: numbered spans of paragraphs against the words that they hold."""
+    from pyspark.sql import Window
+
+    ship(spark)
+    ln = D.lines(docs(spark, sf)).withColumn("line", F.translate("line", "<>", "  "))
+    seg = D.segments(ln)
+    w = D.words(seg)
+    heard = D.intervals(w).withColumn("label", F.lower("word"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "seg_no")) - 1
+    shown = F.concat(F.lit('<span data-index="'), F.col("n").cast("string"), F.lit('">'), F.col("seg"), F.lit("</span>"))
+    paras = K.ordered_text(seg.withColumn("n", n).withColumn("at", F.struct("doc_id", "line_no")), "at", "n", shown, "line").select("at.*", "line")
+    return L.align_spans(paras, heard)
+
+
+@query()
+def A05_resync(spark, sf):
+    """Cursors that are seven words off, or wherever the text is shorter, found again for each line."""
+    ship(spark)
+    t = D.timed(spark, sf)
+    first = t.groupBy("doc_id", "line_no").agg(F.min("idx").cast("int").alias("first"))
+    ln = D.lines(docs(spark, sf)).join(first, ["doc_id", "line_no"])
+    return L.resync_cursors(ln.withColumn("at", F.when(F.col("line_no") % 2 == 0, F.col("first") + 7).otherwise(F.greatest(F.lit(0), F.col("first") - 7))), t)

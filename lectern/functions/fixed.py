@@ -33,6 +33,8 @@ READINGS: dict[str, str] = (
 
 # Punctuation. SPLIT glues to and splits after a text; ENDS closes a group of words in text mode.
 SPLIT, ENDS = "。、．，.,!！?？", "。、，.,"
+SPEAKABLE = "[぀-ゟ゠-ヿ一-鿿㐀-䶿a-zA-Z0-9]"
+BULLETS = r"^[◇◆●○■□▪▫▸►・\-\*]+\s*"
 SKIPPED = r"[\s　。、．，.,!！?？：:；;（）()「」『』\[\]【】｛｝{}・\-\"']"
 
 # Notations, in the syntax that Java and RE2 share.
@@ -46,8 +48,13 @@ UNDERLINE, FRAME = rf"\[{_INSIDE}\]\{{\.underline\}}", rf"\[{_INSIDE}\]\{{\.fram
 HEADING = r"^(#{1,5})[ \t]+(.+)$"
 DISPLAY_MATH, INLINE_MATH = r"(?s)\$\$(.+?)\$\$", r"\$([^$\n]+?)\$"
 BLANKS = r"^[ \t\r\f]+|[ \t\r\f]+$"
+EDGES = r"^[ \t\r\f\n]+|[ \t\r\f\n]+$"  # of a text of several lines
 FRAME_STYLE = "border: solid 2px; padding: 0.25em; margin:0em 0.2em 0em 0.2em; white-space: nowrap;"
 
+# How a cursor is found again. Words after the first that are tried, characters in which the first known word
+# after an unknown one and each further word are looked for, and how far in they may begin.
+RESYNC_UNKNOWN, RESYNC_WORDS, RESYNC_FIRST, RESYNC_FIRST_AT, RESYNC_NEXT, RESYNC_NEXT_AT = 5, 8, 20, 10, 30, 8
+
 # Tables.
 MEDIA_TYPES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".svg": "image/svg+xml", ".webp": "image/webp"}
 OTHER_MEDIA = "application/octet-stream"

@@ -14,17 +14,24 @@ def swap(c: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
+def only_where(c: Column, characters: str, change) -> Column:
+    """change(c) where c holds one of the characters, else c: most texts hold none, and one look costs less than a pass for
+    each of them."""
+    return F.when(c.rlike(f"[{characters}]"), change(c)).otherwise(c)
+
+
 def to_reading(c: Column) -> Column:
     """Characters to what a reader says. One character becomes another, nothing or several, so a chain of replaces;
     those that become one blank or nothing go in one translate."""
     short = sorted((k for k in X.READINGS if len(X.READINGS[k]) <= 1), key=lambda k: not X.READINGS[k])
     c = F.translate(c, "".join(short), "".join(X.READINGS[k] for k in short))  # those without a counterpart go
-    return reduce(lambda a, k: F.replace(a, F.lit(k), F.lit(X.READINGS[k])), [k for k in X.READINGS if k not in short], c)
+    long = [k for k in X.READINGS if k not in short]
+    return only_where(c, "".join(long), lambda c: reduce(lambda a, k: F.replace(a, F.lit(k), F.lit(X.READINGS[k])), long, c))
 
 
 def circled_digits(c: Column) -> Column:
     c = F.translate(c, "".join(X.CIRCLED[:9]) + X.CIRCLED_ZERO, "1234567890")
-    return reduce(lambda a, i: F.replace(a, F.lit(X.CIRCLED[i - 1]), F.lit(str(i))), range(10, 21), c)
+    return only_where(c, "".join(X.CIRCLED[9:]), lambda c: reduce(lambda a, i: F.replace(a, F.lit(X.CIRCLED[i - 1]), F.lit(str(i))), range(10, 21), c))
 
 
 def roman_numerals(c: Column) -> Column:
@@ -121,6 +128,16 @@ def strip_ruby(c: Column) -> Column:
     return swap(c, X.RUBY, "$1")
 
 
+def escape_with_ruby(c: Column) -> Column:
+    """Escaped text with ruby as tags; escaping touches no mark of the notation, so it may come first."""
+    return ruby_to_xhtml(escape(c))
+
+
+def escape_for_powershell(c: Column) -> Column:
+    """For a literal in single quotes of that shell."""
+    return F.replace(c, F.lit("'"), F.lit("''"))
+
+
 def ruby_to_reading(c: Column) -> Column:
     return swap(c, X.RUBY, "$2")
 
@@ -167,15 +184,25 @@ def change_suffix(path: Column, new: str) -> Column:
     return F.concat(swap(path, r"\.[^./]+$", ""), F.lit(new))
 
 
+def sidecar(path: Column) -> Column:
+    """The metadata file beside a file."""
+    return F.concat(swap(path, r"\.[^./]+$", ""), F.lit("_metadata.txt"))
+
+
 def media_type(path: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in X.MEDIA_TYPES.items() for x in kv])
     return F.coalesce(F.try_element_at(table, suffix(path)), F.lit(X.OTHER_MEDIA))
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts names as people do: runs of digits by value, the rest without case. Digit runs are padded to 20 places."""
+    """Sorts names as people do: runs of digits by value, however long, the rest without case. Texts and numbers take
+    turns, a text first, so a name that begins with a number comes before all that begin otherwise. A number is its
+    digits without leading zeros, behind how many they are."""
     parts = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "\u0001")
+    bare = lambda p: swap(p, "^0+", "")
+    number = lambda p: F.concat(F.lpad(F.length(bare(p)).cast("string"), 6, "0"), bare(p))
+    key = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "\u0001")
+    return F.when(name.rlike("^[0-9]"), F.concat(F.lit("\u0001"), key)).otherwise(key)
 
 
 # -- predicates -------------------------------------------------------------
@@ -211,7 +238,13 @@ def image_only(c: Column) -> Column:
 
 
 def speakable(c: Column) -> Column:
-    return c.rlike("[A-Za-z0-9぀-ゟ゠-ヿ一-鿿]")
+    return c.rlike(X.SPEAKABLE)
+
+
+def image_paragraph(c: Column) -> Column:
+    """Of an image-only paragraph its images as XHTML, one after the other; else null."""
+    images = F.regexp_extract_all(c, F.lit(X.IMAGE), F.lit(0))
+    return F.when(image_only(c), F.array_join(F.transform(images, lambda i: swap(escape(i), X.IMAGE, '<img src="../images/$2" alt="$1"/>')), ""))
 
 
 def has_math(c: Column) -> Column:

@@ -23,9 +23,36 @@ def without_language(docs: DataFrame, configs: DataFrame, lang: str = "lang") ->
     return docs.join(F.broadcast(configs.select("epub_lang")), F.col(lang) == F.col("epub_lang"), "left_anti")
 
 
+def _stems(rows: DataFrame, path: str, side: str) -> DataFrame:
+    """One row for each stem: its rows' number and one of them."""
+    return rows.withColumn("stem", T.stem(F.col(path))).groupBy("stem").agg(F.count("*").alias(f"n_{side}"), F.first(F.struct(*rows.columns)).alias(side))
+
+
 def by_stem(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:
-    """Rows whose file names agree up to the suffix."""
-    return left.withColumn("stem", T.stem(F.col(left_path))).join(right.withColumn("stem", T.stem(F.col(right_path))), "stem")
+    """Rows whose file names agree up to the suffix, one of each side; all others are in by_stem_audit."""
+    both = _stems(left, left_path, "left").filter("n_left = 1").join(_stems(right, right_path, "right").filter("n_right = 1"), "stem")
+    return both.select("stem", "left.*", "right.*")
+
+
+def by_stem_audit(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:
+    """Stems that are not there exactly once on either side: stem, n_left, n_right."""
+    both = _stems(left, left_path, "left").join(_stems(right, right_path, "right"), "stem", "full")
+    counted = both.select("stem", F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
+    return counted.filter("n_left <> 1 OR n_right <> 1")
+
+
+def book_metadata(books: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """books: book_id, path; sidecars: path, title and the other values. Books whose sidecar is there once, with a title."""
+    there = sidecars.withColumnRenamed("path", "sidecar").withColumn("n", F.count("*").over(Window.partitionBy("sidecar")))
+    return books.withColumn("sidecar", T.sidecar(F.col("path"))).join(there.filter("n = 1 AND title IS NOT NULL").drop("n"), "sidecar")
+
+
+def book_metadata_audit(books: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """book_id, fault of books without exactly one sidecar or without a title."""
+    seen = sidecars.groupBy(F.col("path").alias("sidecar")).agg(F.count("*").alias("n"), F.count("title").alias("titles"))
+    b = books.withColumn("sidecar", T.sidecar(F.col("path"))).join(seen, "sidecar", "left")
+    fault = F.when(F.col("n").isNull(), "file missing").when(F.col("n") > 1, "several files").when(F.col("titles") == 0, "title missing")
+    return b.select("book_id", fault.alias("fault")).filter("fault IS NOT NULL")
 
 
 def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:

@@ -13,9 +13,9 @@ def ordered_text(rows: DataFrame, by: str, order: str, text: Column, name: str,
     return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("x")))), lambda s: s["x"]), sep).alias(name))
 
 
-def smil_par(el_id: Column, xhtml: str, audio: str, begin: Column, end: Column) -> Column:
+def smil_par(el_id: Column, xhtml: Column, audio: str, begin: Column, end: Column) -> Column:
     return F.concat(
-        F.lit('<par id="par_'), el_id, F.lit(f'"><text src="{xhtml}#'), el_id, F.lit(f'"/><audio src="{audio}" clipBegin="'), T.seconds(begin),
+        F.lit('<par id="par_'), el_id, F.lit('"><text src="'), xhtml, F.lit("#"), el_id, F.lit(f'"/><audio src="{audio}" clipBegin="'), T.seconds(begin),
         F.lit('s" clipEnd="'), T.seconds(end), F.lit('s"/></par>'),
     )
 
@@ -26,22 +26,29 @@ def span(el_id: Column, text: Column) -> Column:
     return F.concat(F.lit('<span id="'), el_id, F.lit('"'), style, F.lit(">"), text, F.lit("</span>"))
 
 
+def smil_document(pars: Column) -> Column:
+    return F.concat(F.lit('<smil xmlns="http://www.w3.org/ns/SMIL" version="3.0"><body>'), pars, F.lit("</body></smil>"))
+
+
 def smil(clips: DataFrame, by: str = "doc_id") -> DataFrame:
     """clips: by, span_id, begin_ms, end_ms."""
     el = T.element_id(F.lit("s"), F.col("span_id"))
-    body = ordered_text(clips, by, "span_id", smil_par(el, "text.xhtml", "audio.mp3", F.col("begin_ms"), F.col("end_ms")), "pars")
-    return body.select(by, F.concat(F.lit('<smil xmlns="http://www.w3.org/ns/SMIL" version="3.0"><body>'), F.col("pars"), F.lit("</body></smil>")).alias("smil"))
+    body = ordered_text(clips, by, "span_id", smil_par(el, F.lit("text.xhtml"), "audio.mp3", F.col("begin_ms"), F.col("end_ms")), "pars")
+    return body.select(by, smil_document(F.col("pars")).alias("smil"))
 
 
-def chapter_xhtml(title: Column, level: Column, body: Column, lang: Column) -> Column:
-    h = F.concat(F.lit("h"), T.clamp_level(level).cast("string"))
+def chapter_document(title: Column, body: Column, lang: Column) -> Column:
     lang = F.coalesce(lang, F.lit("ja"))
     return F.concat(
-        F.lit('<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="'), lang, F.lit('" lang="'), lang, F.lit('"><head><title>'), T.escape(title), F.lit("</title></head><body><"),
-        h, F.lit(">"), T.escape(title), F.lit("</"), h, F.lit(">"), body, F.lit("</body></html>"),
+        F.lit('<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="'), lang, F.lit('" lang="'), lang, F.lit('"><head><title>'), T.escape(title), F.lit("</title></head><body>"), body, F.lit("</body></html>"),
     )
 
 
+def chapter_xhtml(title: Column, level: Column, body: Column, lang: Column) -> Column:
+    h = F.concat(F.lit("h"), T.clamp_level(level).cast("string"))
+    return chapter_document(title, F.concat(F.lit("<"), h, F.lit(">"), T.escape(title), F.lit("</"), h, F.lit(">"), body), lang)
+
+
 def nav_flat(chapters: DataFrame) -> DataFrame:
     item = F.concat(F.lit('<li><a href="'), F.col("chapter_id"), F.lit('.xhtml">'), T.escape(T.strip_for_display(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("chapter_id")))), F.lit("</a></li>"))
     out = ordered_text(chapters, "doc_id", "chapter_no", item, "items")
@@ -78,8 +85,16 @@ def manifest(chapters: DataFrame, assets: DataFrame) -> DataFrame:
     return nav.union(ch).union(sm).union(im)
 
 
+def timed_elements(chapters: DataFrame) -> DataFrame:
+    """doc_id, times: durations of a book and of each chapter's overlay, of chapters with duration_ms."""
+    each = F.concat(F.lit('<meta property="media:duration" refines="#'), F.col("chapter_id"), F.lit('_smil">'), T.clock(F.col("duration_ms")), F.lit("</meta>"))
+    parts = ordered_text(chapters, "doc_id", "chapter_no", each, "parts").join(chapters.groupBy("doc_id").agg(F.sum("duration_ms").alias("total")), "doc_id")
+    return parts.select("doc_id", F.concat(F.lit('<meta property="media:duration">'), T.clock(F.col("total")), F.lit("</meta>"), F.col("parts")).alias("times"))
+
+
 def opf(chapters: DataFrame, assets: DataFrame, metadata: DataFrame, modified: str, identifier: Column) -> DataFrame:
-    """The package document of each book; time and identifier are given, so that runs repeat."""
+    """The package document of each book; time and identifier are given, so that runs repeat. Where chapters have a
+    duration_ms, the document gives the book's and each overlay's."""
     items = ordered_text(manifest(chapters, assets).withColumn("o", F.struct("kind", "n")), "doc_id", "o", F.col("item"), "items")
     spine = ordered_text(chapters, "doc_id", "chapter_no", F.concat(F.lit('<itemref idref="'), F.col("chapter_id"), F.lit('"/>')), "refs")
     joined = items.join(spine, "doc_id").join(metadata, "doc_id")

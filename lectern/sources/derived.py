@@ -108,7 +108,7 @@ WORDS_SQL = """words AS (
 
 def intervals(w: DataFrame) -> DataFrame:
     """A synthetic aligner: words in order, 80 ms a character, 40 ms of silence after each segment, every 11th word
-    unknown. doc_id, line_no, seg_no, word_no, idx, label, begin_ms, end_ms. One exchange by document."""
+    unknown. doc_id, line_no, seg_no, word_no, idx, label, begin_ms, end_ms, word, length. One exchange by document."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("doc_id").orderBy("line_no", "seg_no", "word_no")
@@ -116,7 +116,8 @@ def intervals(w: DataFrame) -> DataFrame:
     w = w.withColumn("cost", (F.length("word") * 80).cast("bigint")).withColumn("gap", F.when((F.col("word_no") == 0) & (F.col("idx") > 0), 40).otherwise(0))
     end = F.sum(F.col("cost") + F.col("gap")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     label = F.when(F.col("idx") % 11 == 10, "<unk>").otherwise(F.lower("word"))
-    return w.select("doc_id", "line_no", "seg_no", "word_no", "idx", label.alias("label"), (end - F.col("cost")).alias("begin_ms"), end.alias("end_ms"))
+    out = w.withColumn("end_ms", end).withColumn("label", label).withColumn("length", F.length("word"))
+    return out.select("doc_id", "line_no", "seg_no", "word_no", "idx", "label", (F.col("end_ms") - F.col("cost")).alias("begin_ms"), "end_ms", "word", "length")
 
 
 INTERVALS_SQL = """numbered AS (
@@ -137,9 +138,9 @@ TIMED_SQL = ", ".join([lines_sql(), segments_sql(), WORDS_SQL, INTERVALS_SQL])
 def paragraphs_html(pages: DataFrame) -> DataFrame:
     """page_id, para_no, html of each p element, blanks around it dropped."""
     found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1))
-    return pages.select("page_id", F.posexplode(found).alias("para_no", "para"))
+    return pages.select("page_id", F.posexplode(found).alias("para_no", "para")).withColumn("para", T.swap(F.col("para"), X.EDGES, ""))
 
 
 PARAGRAPHS_SQL = r"""paras AS (
-  SELECT page_id, (i - 1)::INTEGER AS para_no, para FROM (
+  SELECT page_id, (i - 1)::INTEGER AS para_no, regexp_replace(para, '^[ \t\r\f\n]+|[ \t\r\f\n]+$', '', 'g') AS para FROM (
     SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?s)<p[^>]*>(.*?)</p>', 1)) AS para, generate_subscripts(regexp_extract_all(coalesce(html, ''), '(?s)<p[^>]*>(.*?)</p>', 1), 1) AS i FROM pages))"""

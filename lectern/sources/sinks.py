@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 
 
+#: The style of all chapters.
+CSS = "body { line-height: 1.6; } .-epub-media-overlay-active { background-color: #ffff99; }"
+
+
 def package(members: Iterable[tuple[str, bytes]]) -> bytes:
     """A package as bytes: the type first and stored, the rest deflated."""
     out = io.BytesIO()
@@ -36,11 +40,20 @@ def packages(members: DataFrame) -> DataFrame:
     return members.groupBy("book_id").applyInPandas(run, f"book_id {kind}, epub binary")
 
 
-def write_pieces(pieces: DataFrame, path: str) -> None:
-    """pieces: doc_id, file_no, line_no, line. A folder for each document and file number, blank lines at the end gone."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n")
-    whole = pieces.groupBy("doc_id", "file_no").agg(F.regexp_replace(lines, r"\n+$", "").alias("value"))
-    whole.write.partitionBy("doc_id", "file_no").text(path)
+def pieces(lines: DataFrame) -> DataFrame:
+    """lines: doc_id, file_no, line_no, line. A row for each piece: doc_id, file_no, name, value, blank lines at the end gone."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n")
+    whole = lines.groupBy("doc_id", "file_no").agg(F.regexp_replace(joined, r"\n+$", "").alias("value"))
+    return whole.withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("file_no").cast("string"), F.lit(".txt")))
+
+
+def write_pieces(lines: DataFrame, path: str, split: bool = False) -> None:
+    """Pieces as rows with their file's name, so that millions of pieces are a few files; on request (`split`) a folder for
+    each document and file number, for books that people handle."""
+    if split:
+        pieces(lines).select("doc_id", "file_no", "value").write.partitionBy("doc_id", "file_no").text(path)
+    else:
+        pieces(lines).write.parquet(path)
 
 
 def join_wav(parts: list[bytes]) -> bytes:
