@@ -842,3 +842,46 @@ def A05_resync(spark, sf):
     first = t.groupBy("doc_id", "line_no").agg(F.min("idx").cast("int").alias("first"))
     ln = D.lines(docs(spark, sf)).join(first, ["doc_id", "line_no"])
     return L.resync_cursors(ln.withColumn("at", F.when(F.col("line_no") % 2 == 0, F.col("first") + 7).otherwise(F.greatest(F.lit(0), F.col("first") - 7))), t)
+
+
+# -- rows of what functions above do in one column ----------------------------
+
+_on_markup("F13_escape_with_ruby", T.escape_with_ruby, _sub(_replaced(_ESC, "line"), (X.RUBY, r"<ruby><rb>\1</rb><rt>\2</rt></ruby>")))
+_on_html("F24_powershell", lambda c: T.escape_for_powershell(T.swap(c, "e", "'")), "replace(replace(para, 'e', chr(39)), chr(39), chr(39) || chr(39))")
+_FIRST_IMAGE = f"coalesce(nullif(regexp_extract(line, '{X.IMAGE}', 0), ''), line)"
+_on_markup(
+    "P04_image_paragraph", lambda c: T.image_paragraph(F.coalesce(F.nullif(F.regexp_extract(c, X.IMAGE, 0), F.lit("")), c)),
+    f"CASE WHEN regexp_matches({_FIRST_IMAGE}, '{X.IMAGE}') AND {_sub(_sub(_FIRST_IMAGE, (X.IMAGE, '')), (X.BLANKS, ''))} = '' THEN array_to_string([{_sub(_replaced(_ESC, 'i'), (X.IMAGE, chr(60) + 'img src=' + chr(34) + '../images/' + chr(92) + '2' + chr(34) + ' alt=' + chr(34) + chr(92) + '1' + chr(34) + '/>'))} FOR i IN regexp_extract_all({_FIRST_IMAGE}, '{X.IMAGE}', 0)], '') END",
+)
+
+
+@query(f"WITH {D.lines_sql()} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::INTEGER AS para_no, line FROM lines")
+def H12_spoken_paragraphs(spark, sf):
+    return H.spoken_paragraphs(D.lines(docs(spark, sf)))
+
+
+@query(f"""WITH {_PLAIN_SQL}, n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, seg_no) - 1)::INTEGER AS data_index FROM segments)
+SELECT doc_id, line_no, data_index, CASE WHEN seg_no % 2 = 0 THEN 'y' || seg_no END AS yomi, seg AS content, '<span data-index="' || data_index || '"' || CASE WHEN seg_no % 2 = 0 THEN ' data-yomi="y' || seg_no || '"' ELSE '' END || '>' AS open_tag FROM n""")
+def H10_index_spans(spark, sf):
+    from pyspark.sql import Window
+
+    ship(spark)
+    seg = D.segments(D.lines(docs(spark, sf)).withColumn("line", F.translate("line", "<>", "  ")))
+    seg = seg.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "seg_no")) - 1).withColumn("at", F.struct("doc_id", "line_no"))
+    yomi = F.when(F.col("seg_no") % 2 == 0, F.concat(F.lit(' data-yomi="y'), F.col("seg_no").cast("string"), F.lit('"'))).otherwise("")
+    shown = F.concat(F.lit('<span data-index="'), F.col("n").cast("string"), F.lit('"'), yomi, F.lit(">"), F.col("seg"), F.lit("</span>"))
+    return H.index_spans(K.ordered_text(seg, "at", "n", shown, "line").select("at.*", "line"))
+
+
+@query()
+def F15_render_nested(spark, sf):
+    """Notations within notations: every line underlined, its own notation inside."""
+    ship(spark)
+    m = D.markup(docs(spark, sf)).withColumn("line", F.concat(F.lit("["), F.translate("line", "[]", "()"), F.lit("]{.underline}")))
+    return H.rendered(m).select("doc_id", "line_no", "out")
+
+
+@query("""SELECT conv_id::VARCHAR AS path, coalesce(arg_min(coalesce(role, ''), turn), '') AS title, count(*) AS n_sections, sum(len(string_split(coalesce(text, ''), chr(10))))::INTEGER AS n_paragraphs FROM conversations GROUP BY conv_id""")
+def S10_xml_view(spark, sf):
+    ship(spark)
+    return S.xml_view(S.read_xml_books(_xml(spark, sf))).select("path", "title", "n_sections", F.size("paragraphs").alias("n_paragraphs"))

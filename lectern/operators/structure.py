@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -95,3 +96,34 @@ def reading_text(lines: DataFrame) -> DataFrame:
     f = f.withColumn("said", T.stripped(said)).filter("said <> ''")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda s: s["said"]), "\n")
     return f.groupBy("doc_id").agg(joined.alias("reading"))
+
+
+def index_spans(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs: doc_id, line_no, line. A row for each numbered span, also those within others: data_index, yomi, content,
+    open_tag."""
+    import pandas as pd
+
+    from ..functions.plain import index_spans as found
+
+    def run(batches):
+        for b in batches:
+            rows = [(d, n, *x) for d, n, t in zip(b["doc_id"], b["line_no"], b["line"], strict=True) for x in found(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "data_index", "yomi", "content", "open_tag"])
+
+    return paragraphs.select("doc_id", "line_no", "line").mapInPandas(run, "doc_id bigint, line_no int, data_index int, yomi string, content string, open_tag string")
+
+
+def rendered(lines: DataFrame) -> DataFrame:
+    """lines with `out`: their inline notations as XHTML, nested to any depth."""
+    from ..functions.plain import render
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(out=b["line"].map(render))
+
+    return lines.mapInPandas(run, StructType([*lines.schema.fields, StructField("out", StringType())]))
+
+
+def spoken_paragraphs(lines: DataFrame) -> DataFrame:
+    """What is sent to a voice piece by piece: lines that are not blank, numbered from 0."""
+    return lines.select("doc_id", (F.row_number().over(_by("line_no")) - 1).alias("para_no"), "line")
