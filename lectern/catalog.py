@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import fixed as X
 from .functions import text as T
 from .operators import align as L
+from .operators import formulas as M
 from .operators import lookups as J
 from .operators import structure as H
 from .operators import timing as A
@@ -885,3 +886,134 @@ def F15_render_nested(spark, sf):
 def S10_xml_view(spark, sf):
     ship(spark)
     return S.xml_view(S.read_xml_books(_xml(spark, sf))).select("path", "title", "n_sections", F.size("paragraphs").alias("n_paragraphs"))
+
+
+# -- formulas put in place, layouts of packages, names with times ----------------
+
+_TEX = f"""tex AS (SELECT doc_id, translate(coalesce(text, ''), 'e', '$') AS text FROM documents
+), shown AS (SELECT doc_id, regexp_extract_all(text, '{X.DISPLAY_MATH}', 1) AS shown, string_split_regex(text, '{X.DISPLAY_MATH}') AS p FROM tex
+), once AS (SELECT doc_id, shown, array_to_string(list_transform(p, lambda x, i: x || CASE WHEN i < len(p) THEN chr(2) || 'MATH' || (i - 1) || chr(2) ELSE '' END), '') AS text FROM shown
+), within AS (SELECT doc_id, shown, regexp_extract_all(text, '{X.INLINE_MATH}', 1) AS within, string_split_regex(text, '{X.INLINE_MATH}') AS p FROM once
+), marked AS (SELECT doc_id, array_to_string(list_transform(p, lambda x, i: x || CASE WHEN i < len(p) THEN chr(2) || 'MATH' || (len(shown) + i - 1) || chr(2) ELSE '' END), '') AS text,
+    list_concat([regexp_replace(x, '{X.EDGES}', '', 'g') FOR x IN shown], [regexp_replace(x, '{X.EDGES}', '', 'g') FOR x IN within]) AS tex, len(shown) AS n_shown FROM within)"""
+
+
+def _formula_texts(spark, sf):
+    """Documents whose letter e is a dollar sign: formulas of all lengths, some within others' marks."""
+    return M.substituted(docs(spark, sf).select("doc_id", F.translate("text", "e", "$").alias("text")))
+
+
+def _made(marked: DataFrame) -> DataFrame:
+    """A converter's table; formulas of a length that three divides failed."""
+    one = marked.select(F.explode("formulas").alias("f")).select("f.tex", "f.display").distinct().filter(F.length("tex") % 3 != 0)
+    n = F.length("tex").cast("string")
+    return one.withColumn("mathml", F.concat(F.lit("<math><mn>"), n, F.lit("</mn></math>"))).withColumn("speech", F.concat(F.lit("formula of "), n))
+
+
+@query(f"WITH {_TEX} SELECT doc_id, text, n_shown::INTEGER AS n_shown, len(tex)::INTEGER AS n FROM marked")
+def E01_substituted(spark, sf):
+    shown = F.size(F.filter("formulas", lambda f: f["display"]))
+    return _formula_texts(spark, sf).select("doc_id", "text", shown.alias("n_shown"), F.size("formulas").alias("n"))
+
+
+def _filled(c: str, other: str, made: str) -> str:
+    mark = chr(2) + "MATH([0-9]+)" + chr(2)
+    entry = f"CASE WHEN length(x) % 3 <> 0 THEN {made} ELSE {other} END"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({c}, '{mark}'), list_append(regexp_extract_all({c}, '{mark}', 1), '-1')), lambda z: z[1] || coalesce(([{entry} FOR x IN tex])[z[2]::INTEGER + 1], '')), '')"
+
+
+_MARKED_READING = _all(_replaced(X.READINGS, _strip("text", chr(92) + "1", chr(92) + "2")))
+
+
+@query(f"WITH {_TEX}, r AS (SELECT doc_id, tex, {_MARKED_READING} AS text FROM marked) SELECT doc_id, {_filled('text', 'x', chr(39) + 'formula of ' + chr(39) + ' || length(x)')} AS out FROM r")
+def F09_normalize_with_formulas(spark, sf):
+    """Text as it is matched, formulas as they are spoken."""
+    m = _formula_texts(spark, sf)
+    c = M.converted(m, _made(m)).withColumn("text", T.normalize_text(F.col("text")))
+    return c.select("doc_id", M.filled(F.col("text"), "speech").alias("out"))
+
+
+_FAULT = f"'{X.MATH_FAULT[0]}' || x || '{X.MATH_FAULT[1]}'"
+
+
+@query(f"WITH {_TEX} SELECT doc_id, {_filled('text', _FAULT, chr(39) + '<math><mn>' + chr(39) + ' || length(x) || ' + chr(39) + '</mn></math>' + chr(39))} AS out FROM marked")
+def E01_formulas_shown(spark, sf):
+    m = _formula_texts(spark, sf)
+    return M.converted(m, _made(m)).select("doc_id", M.filled(F.col("text"), "mathml").alias("out"))
+
+
+_DAY = "(page_id * 86461 + 1700000000)"
+_STAMP = f"strftime(make_timestamp({_DAY}::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query(f"SELECT page_id, {_STAMP} AS stamp FROM pages")
+def C03_timestamps(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", T.timestamp(F.col("page_id") * 86461 + 1700000000).alias("stamp"))
+
+
+@query(rf"SELECT page_id, regexp_replace({_NAME}, '\.[^.]+$', '') || '_' || CASE WHEN page_id % 2 = 0 THEN 'word' ELSE 'punctuation' END || '_' || strftime(make_timestamp({_DAY}::BIGINT * 1000000), '%Y%m%d_%H%M%S') || '.epub' AS out FROM pages")
+def C05_names_of_runs(spark, sf):
+    mode = F.when(F.col("page_id") % 2 == 0, "word").otherwise("punctuation")
+    return D.table(spark, sf, "pages").select("page_id", T.output_name(F.col("url"), mode, F.col("page_id") * 86461 + 1700000000).alias("out"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR coalesce(role, '') = '' THEN 'Untitled' ELSE role END AS title FROM conversations")
+def F16_book_title(spark, sf):
+    title = F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role"))
+    return D.table(spark, sf, "conversations").select("conv_id", "turn", T.book_title(title).alias("title"))
+
+
+def _clock(ms: str) -> str:
+    return f"(({ms}) // 3600000) || ':' || lpad(((({ms}) % 3600000) // 60000)::VARCHAR, 2, '0') || ':' || lpad(((({ms}) % 60000) // 1000)::VARCHAR, 2, '0') || '.' || lpad((({ms}) % 1000)::VARCHAR, 3, '0')"
+
+
+def _layout_sql(layout: str) -> str:
+    one, each = layout == "single", layout in ("single", "chapter")
+    i, mo = ("'text1'", "'mo1'") if one else ("chapter_id", "'mo_' || chapter_id")
+    place = 4 if one else 8
+    item = lambda a, href, kind, extra="''": f"'<item id=\"' || {a} || '\" href=\"' || {href} || '\" media-type=\"' || {kind} || '\"' || {extra} || '/>'"
+    rows = [
+        f"SELECT DISTINCT doc_id, 0 AS kind, 0 AS n, 0 AS part, " + item("'nav'", "'text/nav.xhtml'", "'application/xhtml+xml'", "' properties=\"nav\"'") + " AS item FROM ch",
+        f"SELECT DISTINCT doc_id, {5 if one else 1}, 0, 0, " + item("'css'", "'styles/style.css'", "'text/css'") + " FROM ch",
+        f"SELECT doc_id, {place}, chapter_no, 0, " + item(i, "'text/' || chapter_id || '.xhtml'", "'application/xhtml+xml'", f"' media-overlay=\"' || {mo} || '\"'") + " FROM ch",
+        f"SELECT doc_id, {place}, chapter_no, 1, " + item(mo, "'smil/' || chapter_id || '.smil'", "'application/smil+xml'") + " FROM ch",
+        "SELECT doc_id, 6, n::INTEGER, 0, " + item("'img' || n", "'images/' || name", _MEDIA.format("name")) + " FROM imgs WHERE doc_id IN (SELECT doc_id FROM ch)",
+    ]
+    if each:
+        rows.append(f"SELECT doc_id, {place}, chapter_no, 2, " + item("'audio1'" if one else "'audio_' || chapter_id", "'audio/' || audio", "'audio/mpeg'") + " FROM ch")
+    elif layout == "book":
+        rows.append("SELECT doc_id, 2, 0, 0, " + item("'audio'", "'audio/' || arg_min(audio, chapter_no)", "'audio/mpeg'") + " FROM ch GROUP BY doc_id")
+    else:
+        rows.append("SELECT doc_id, 2, n, 0, " + item("'audio' || n", "'audio/' || audio", "'audio/mpeg'") + " FROM (SELECT doc_id, audio, (row_number() OVER (PARTITION BY doc_id ORDER BY min(chapter_no)))::INTEGER AS n FROM ch GROUP BY doc_id, audio)")
+    return f"""WITH {_CHAPTERS}, {_IMAGES}, ch AS (SELECT doc_id, chapter_no, chapter_id, 'part' || (chapter_no // 3) || '.mp3' AS audio, chapter_no * 61001 + doc_id AS ms FROM chapters{' WHERE chapter_no = 1' if one else ''}
+), items AS ({' UNION ALL '.join(rows)}), i AS (SELECT doc_id, string_agg(item, '' ORDER BY kind, n, part) AS items FROM items GROUP BY doc_id
+), s AS (SELECT doc_id, string_agg('<itemref idref="' || {"'text1'" if one else 'chapter_id'} || '"/>', '' ORDER BY chapter_no) AS refs, string_agg('<meta property="media:duration" refines="#' || {mo} || '">' || {_clock('ms')} || '</meta>', '' ORDER BY chapter_no) AS times, sum(ms)::BIGINT AS total FROM ch GROUP BY doc_id
+) SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="pub-id" xml:lang="' || lang || '" prefix="media: http://www.idpf.org/epub/vocab/overlays/#"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="pub-id">book-' || doc_id
+  || '</dc:identifier><dc:title>A &amp; ' || doc_id || '</dc:title><dc:language>' || lang || '</dc:language><dc:creator>B</dc:creator><meta property="schema:accessMode">textual &lt;' || doc_id || '&gt;</meta><meta property="dcterms:modified">2026-01-01T00:00:00Z</meta><meta property="media:duration">' || {_clock('total')} || '</meta>' || times
+  || '<meta property="media:active-class">-epub-media-overlay-active</meta></metadata><manifest>' || items || '</manifest><spine>' || refs || '</spine></package>' AS opf FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'ja' END AS lang FROM i JOIN s USING (doc_id))"""
+
+
+def _opf_layout(layout: str) -> None:
+    @query(_layout_sql(layout), name=f"K08_layout_{layout}")
+    def run(spark, sf):
+        own = F.col("doc_id").cast("string")
+        c = H.chapters(book_lines(spark, sf)).withColumn("audio", F.concat(F.lit("part"), F.floor(F.col("chapter_no") / 3).cast("string"), F.lit(".mp3")))
+        c = c.withColumn("duration_ms", (F.col("chapter_no") * 61001 + F.col("doc_id")).cast("bigint"))
+        access = F.array(F.struct(F.lit("accessMode").alias("key"), F.concat(F.lit("textual <"), own, F.lit(">")).alias("value")))
+        meta = c.select("doc_id").distinct().select(
+            "doc_id", F.concat(F.lit("A & "), own).alias("title"), F.when(F.col("doc_id") % 2 == 0, "de").alias("lang"),
+            F.concat(K.optional_elements(creator=F.lit("B"), publisher=F.lit("")), K.accessibility_elements(access)).alias("optional"))
+        return K.package_document(c, _images(spark, sf), meta, T.timestamp(F.lit(1767225600)), F.concat(F.lit("book-"), own), layout)
+
+
+for _layout in ("book", "chapter", "files", "single"):
+    _opf_layout(_layout)
+
+
+@query()
+def A16_balanced_ranges(spark, sf):
+    """The first half of each paragraph, cut wherever it falls, and where it must end to close what it opens."""
+    p = D.paragraphs_html(D.table(spark, sf, "pages"))
+    p = p.withColumn("para", F.concat(F.lit("<strong>"), F.replace("para", F.lit(" t"), F.lit(" <em>t</em>")), F.lit("</strong>")))
+    half = F.floor(F.length("para") / 2).cast("int")
+    return p.select("page_id", "para_no", half.alias("cut"), T.balanced_end(F.col("para"), F.lit(0), half).alias("end"))

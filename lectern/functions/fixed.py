@@ -47,6 +47,8 @@ _INSIDE = r"([^\[\]]*(?:\[[^\]]*\](?:\([+-][^)]*\)|\{\.frame\})[^\[\]]*)*)"
 UNDERLINE, FRAME = rf"\[{_INSIDE}\]\{{\.underline\}}", rf"\[{_INSIDE}\]\{{\.frame\}}"
 HEADING = r"^(#{1,5})[ \t]+(.+)$"
 DISPLAY_MATH, INLINE_MATH = r"(?s)\$\$(.+?)\$\$", r"\$([^$\n]+?)\$"
+MATH_MARK = ("\x02MATH", "\x02")  # around the number of a formula
+MATH_FAULT = ('<math xmlns="http://www.w3.org/1998/Math/MathML"><merror><mtext>', "</mtext></merror></math>")
 BLANKS = r"^[ \t\r\f]+|[ \t\r\f]+$"
 EDGES = r"^[ \t\r\f\n]+|[ \t\r\f\n]+$"  # of a text of several lines
 FRAME_STYLE = "border: solid 2px; padding: 0.25em; margin:0em 0.2em 0em 0.2em; white-space: nowrap;"

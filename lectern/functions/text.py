@@ -283,3 +283,46 @@ def clamp_level(level: Column) -> Column:
 def distance_score(score: Column, distance: Column) -> Column:
     """Matched characters, less with the distance of the cursor: a thousandth each, to a tenth at least. Integers alone."""
     return F.floor(score * F.greatest(F.lit(100), F.lit(1000) - distance) / 1000).cast("bigint")
+
+
+def _digits(n: Column, width: int = 2) -> Column:
+    return F.lpad(n.cast("string"), width, "0")
+
+
+def timestamp(seconds_: Column) -> Column:
+    """Seconds since 1970 as yyyy-mm-ddThh:mm:ssZ, whatever the session's time zone."""
+    day, rest = F.floor(seconds_ / 86400).cast("int"), F.pmod(seconds_, F.lit(86400))
+    whole = lambda a, b: F.floor(a / b).cast("int")
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string"), F.lit("T"), _digits(whole(rest, 3600)), F.lit(":"), _digits(whole(rest % 3600, 60)), F.lit(":"), _digits(rest % 60), F.lit("Z"))
+
+
+def output_name(path: Column, mode: Column, seconds_: Column) -> Column:
+    """A package's file name: stem, mode and time."""
+    compact = F.replace(F.translate(timestamp(seconds_), "-:Z", ""), F.lit("T"), F.lit("_"))
+    return F.concat(F.concat_ws("_", stem(path), mode, compact), F.lit(".epub"))
+
+
+def book_title(title: Column) -> Column:
+    return F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled"))
+
+
+def balanced_end(xhtml: Column, start: Column, end: Column) -> Column:
+    """Where a range of XHTML (0-based, end exclusive) must end so that the tags it opens are closed; tags that are never
+    closed leave it as it is."""
+    tag = r"</?(?:ruby|u|strong|sub|sup|em)\b[^>]*>"
+    tags = F.regexp_extract_all(F.substring(xhtml, start + 1, end - start), F.lit(tag), F.lit(0))
+    none = F.expr("cast(array() as array<string>)")
+
+    def step(open_: Column, t: Column) -> Column:
+        name = F.regexp_extract(t, "^</?([a-z]+)", 1)
+        top = F.coalesce(F.try_element_at(open_, F.lit(-1)), F.lit(""))
+        closed = F.when(top == name, F.slice(open_, 1, F.greatest(F.size(open_) - 1, F.lit(0)))).otherwise(open_)
+        return F.when(t.startswith("</"), closed).otherwise(F.concat(open_, F.array(name)))
+
+    def further(at: Column, name: Column) -> Column:
+        close = F.concat(F.lit("</"), name, F.lit(">"))
+        found = F.call_function("locate", close, xhtml, at + 1)
+        return F.when(found > 0, found - 1 + F.length(close)).otherwise(at)
+
+    left = F.reverse(F.aggregate(tags, none, step))
+    return F.aggregate(left, end.cast("int"), further)

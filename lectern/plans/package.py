@@ -108,3 +108,61 @@ def optional_elements(**columns: Column) -> Column:
     """Elements of those values that are there."""
     made = [F.when(F.nullif(c, F.lit("")).isNotNull(), F.concat(F.lit(f"<dc:{n}>"), T.escape(c), F.lit(f"</dc:{n}>"))) for n, c in columns.items()]
     return F.array_join(F.array_compact(F.array(*made)), "")
+
+
+def accessibility_elements(pairs: Column) -> Column:
+    """Of an array of key, value, an element each, in order; null and empty arrays give none."""
+    made = F.transform(pairs, lambda p: F.concat(F.lit('<meta property="schema:'), T.escape(p["key"], quotes=False), F.lit('">'), T.escape(p["value"], quotes=False), F.lit("</meta>")))
+    return F.coalesce(F.array_join(made, ""), F.lit(""))
+
+
+def layout_items(chapters: DataFrame, assets: DataFrame, layout: str) -> DataFrame:
+    """doc_id, kind, n, part, item: the manifest in order. chapters: doc_id, chapter_no, chapter_id, audio. Layouts of audio:
+    "book" one file for all chapters, "chapter" one for each, "files" the distinct files in order of first use, "single"
+    the one chapter of a book. Chapters without audio (null) add no file."""
+    one = layout == "single"
+    item = lambda i, href, kind, extra="": F.concat(F.lit('<item id="'), i, F.lit('" href="'), href, F.lit('" media-type="'), kind, F.lit('"'), F.lit(extra) if isinstance(extra, str) else extra, F.lit("/>"))
+    row = lambda df, kind, n, part, made: df.select("doc_id", F.lit(kind).alias("kind"), n.cast("int").alias("n"), F.lit(part).alias("part"), made.alias("item"))
+    books = chapters.groupBy("doc_id").agg(F.min_by("audio", "chapter_no").alias("audio"))
+    i, mo = (F.lit("text1"), F.lit("mo1")) if one else (F.col("chapter_id"), F.concat(F.lit("mo_"), F.col("chapter_id")))
+    mp3, here = F.lit("audio/mpeg"), F.col("chapter_no")
+    file = F.concat(F.lit("audio/"), F.col("audio"))
+    out = row(books, 0, F.lit(0), 0, item(F.lit("nav"), F.lit("text/nav.xhtml"), F.lit("application/xhtml+xml"), ' properties="nav"'))
+    out = out.union(row(books, 5 if one else 1, F.lit(0), 0, item(F.lit("css"), F.lit("styles/style.css"), F.lit("text/css"))))
+    order = 4 if one else 8  # images stand before chapters, but behind a single one
+    out = out.union(row(chapters, order, here, 0, item(i, F.concat(F.lit("text/"), F.col("chapter_id"), F.lit(".xhtml")), F.lit("application/xhtml+xml"), F.concat(F.lit(' media-overlay="'), mo, F.lit('"')))))
+    out = out.union(row(chapters, order, here, 1, item(mo, F.concat(F.lit("smil/"), F.col("chapter_id"), F.lit(".smil")), F.lit("application/smil+xml"))))
+    if layout in ("chapter", "single"):
+        name = F.lit("audio1") if one else F.concat(F.lit("audio_"), F.col("chapter_id"))
+        out = out.union(row(chapters.filter("audio IS NOT NULL"), order, here, 2, item(name, file, mp3)))
+    elif layout == "book":
+        out = out.union(row(books.filter("audio IS NOT NULL"), 2, F.lit(0), 0, item(F.lit("audio"), file, mp3)))
+    elif layout == "files":
+        used = chapters.filter("audio IS NOT NULL").groupBy("doc_id", "audio").agg(F.min("chapter_no").alias("first"))
+        used = used.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")))
+        out = out.union(row(used, 2, F.col("n"), 0, item(F.concat(F.lit("audio"), F.col("n").cast("string")), file, mp3)))
+    else:
+        raise ValueError(f"unknown layout {layout}")
+    image = item(F.concat(F.lit("img"), F.col("n").cast("string")), F.concat(F.lit("images/"), F.col("name")), T.media_type(F.col("name")))
+    return out.union(row(assets.join(books.select("doc_id"), "doc_id", "left_semi"), 6, F.col("n"), 0, image))
+
+
+def package_document(chapters: DataFrame, assets: DataFrame, metadata: DataFrame, modified: Column, identifier: Column, layout: str) -> DataFrame:
+    """doc_id, opf of the books of metadata (doc_id, title, lang, optional, and what modified and identifier are made of).
+    chapters also hold duration_ms; the layout "single" takes each book's first chapter alone."""
+    if layout == "single":
+        first = chapters.groupBy("doc_id").agg(F.min("chapter_no").alias("chapter_no"))
+        chapters = chapters.join(first, ["doc_id", "chapter_no"])
+    mo, ref = (F.lit("mo1"), F.lit("text1")) if layout == "single" else (F.concat(F.lit("mo_"), F.col("chapter_id")), F.col("chapter_id"))
+    items = ordered_text(layout_items(chapters, assets, layout).withColumn("o", F.struct("kind", "n", "part")), "doc_id", "o", F.col("item"), "items")
+    ordered = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", x.alias("x")))), lambda s: s["x"]), "")
+    each = F.concat(F.lit('<meta property="media:duration" refines="#'), mo, F.lit('">'), T.clock(F.col("duration_ms")), F.lit("</meta>"))
+    told = chapters.groupBy("doc_id").agg(ordered(F.concat(F.lit('<itemref idref="'), ref, F.lit('"/>'))).alias("refs"), ordered(each).alias("times"), F.sum("duration_ms").alias("total"))
+    lang = F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("ja"))
+    return items.join(told, "doc_id").join(metadata, "doc_id").select("doc_id", F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="pub-id" xml:lang="'), lang,
+        F.lit('" prefix="media: http://www.idpf.org/epub/vocab/overlays/#"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="pub-id">'), identifier,
+        F.lit("</dc:identifier><dc:title>"), T.escape(F.col("title"), quotes=False), F.lit("</dc:title><dc:language>"), lang, F.lit("</dc:language>"), F.col("optional"),
+        F.lit('<meta property="dcterms:modified">'), modified, F.lit('</meta><meta property="media:duration">'), T.clock(F.col("total")), F.lit("</meta>"), F.col("times"),
+        F.lit('<meta property="media:active-class">-epub-media-overlay-active</meta></metadata><manifest>'), F.col("items"), F.lit("</manifest><spine>"), F.col("refs"), F.lit("</spine></package>"),
+    ).alias("opf"))
