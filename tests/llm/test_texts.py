@@ -200,7 +200,7 @@ def test_margins_and_scores_as_a_plain_version(spark, toxic_world):
         words, counts = words_of(t), []
         margin = lambda x: size(m.ordinary, (x := toxicity.HEAD + b" " + x + b" " + toxicity.TAIL)) - size(m.toxic, x)
         single = [100 * margin(x) // len(x) for x in words]
-        long = [margin(b" ".join(x)) for i in range(0, len(words) - 1, 2) if sum(w in m.phrases for w in (x := words[i : i + 4])) > 1]
+        long = [margin(b" ".join(x)) for x in (words[i : i + 4] for i in range(0, len(words) - 1, 2)) if sum(w in m.phrases for w in x) > 1]
         counts = [sum(x >= s for x in single) for s in toxicity.WORD_STEPS] + [sum(x >= s for x in long) for s in toxicity.STRETCH_STEPS]
         z = sum(w * math.log1p(c) for w, c in zip(m.weights[1:], counts, strict=True)) + m.weights[0]
         assert abs(toxicity.Scorer(m, toxicity.Rules()).scores([t])[0] - 1 / (1 + math.exp(-z))) < 1e-9
