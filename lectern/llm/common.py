@@ -28,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of our own by application, where spark.checkpoint.dir is unset.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir. Where it is unset a folder of our own does in one process, as
     in tests; on a cluster each executor would write to its own disk, so there it is an error."""
@@ -35,8 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not re.fullmatch(r"local(\[[^-,]*(,[^-,]*)?\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # a running session refuses to set it, so the folder is kept here
+        app = spark.sparkContext.applicationId
+        found = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="lectern-")
     return found.rstrip("/")
 
 
