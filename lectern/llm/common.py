@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialise, new_path, shared_dir, ship  # noqa: F401
 
 
 def prepare(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
@@ -28,35 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The folder of our own by application, where spark.checkpoint.dir is unset.
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Where it is unset a folder of our own does in one process, as
-    in tests; on a cluster each executor would write to its own disk, so there it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^-,]*(,[^-,]*)?\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        # a running session refuses to set it, so the folder is kept here
-        app = spark.sparkContext.applicationId
-        found = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it: lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns; whatever else the table holds stays out, so no name can clash."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)

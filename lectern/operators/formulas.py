@@ -9,20 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions import text as T
 
 
 def _marked(text: Column, pattern: str, first: Column) -> Column:
     """Matches as placeholders, numbered from `first` on."""
+    # numbers come as a list: what a lambda names is made again for each piece, so it may name nothing of the whole text;
+    # the list's last number has no piece, and joining leaves it out
     pieces = F.split(text, pattern, -1)
-    mark = lambda i: F.concat(F.lit(X.MATH_MARK[0]), (first + i).cast("string"), F.lit(X.MATH_MARK[1]))
-    return F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.when(i < F.size(pieces) - 1, mark(i)).otherwise(""))), "")
+    mark = lambda n: F.concat(F.lit(X.MATH_MARK[0]), n.cast("string"), F.lit(X.MATH_MARK[1]))
+    numbers = F.concat(F.array(F.lit(None).cast("int")), F.sequence(first, first + F.size(pieces) - 1))
+    return F.array_join(F.zip_with(pieces, numbers, lambda x, n: F.concat(F.coalesce(mark(n), F.lit("")), x)), "")
 
 
 def substituted(texts: DataFrame) -> DataFrame:
     """doc_id, text with placeholders, formulas (array of tex, display; a placeholder's number is its place): formulas set
     apart first, then those within a line of what is left. Null text counts as empty."""
-    text, tex = F.coalesce(F.col("text"), F.lit("")), lambda x: T.swap(x, X.EDGES, "")
+    text, tex = F.coalesce(F.col("text"), F.lit("")), lambda x: F.btrim(x, F.lit(" \t\r\f\n"))
     shown = F.regexp_extract_all(text, F.lit(X.DISPLAY_MATH), F.lit(1))
     once = texts.select("doc_id", shown.alias("shown"), _marked(text, X.DISPLAY_MATH, F.lit(0)).alias("text"))
     within = F.regexp_extract_all("text", F.lit(X.INLINE_MATH), F.lit(1))
@@ -44,6 +46,7 @@ def converted(marked: DataFrame, made: DataFrame) -> DataFrame:
 def filled(text: Column, what: str) -> Column:
     """Placeholders to the `what` (mathml or speech) of their number in `entries`; numbers that are not there to nothing."""
     pattern = rf"{X.MATH_MARK[0]}(\d+){X.MATH_MARK[1]}"
-    numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    said = lambda i: F.try_element_at(F.col("entries"), F.try_element_at(numbers, i + 1).cast("int") + 1)[what]
-    return F.array_join(F.transform(F.split(text, pattern, -1), lambda x, i: F.concat(x, F.coalesce(said(i), F.lit("")))), "")
+    # both lists are made once a text; inside the lambda either would be made again for each of its pieces
+    said = lambda n: F.get(F.col("entries"), n.try_cast("int"))[what]
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x, n: F.concat(x, F.coalesce(said(n), F.lit(""))))
+    return F.array_join(pieces, "")

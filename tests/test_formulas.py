@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -29,6 +30,23 @@ def test_formulas_are_numbered_spoken_and_shown(spark):
     assert M.converted(m.limit(0), made).collect() == []
 
 
+def test_many_formulas_in_one_text(spark):
+    """Work that grows with the square of a text's formulas would take minutes here."""
+    n = 12_000
+    m = M.substituted(spark.createDataFrame([(1, "$x$ $$y$$\n" * n)], "doc_id int, text string"))
+    made = spark.createDataFrame([("x", False, "<x/>", "ex"), ("y", True, "<y/>", "why")], "tex string, display boolean, mathml string, speech string")
+    began = time.time()
+    out = M.converted(m, made).select(M.filled(F.col("text"), "speech").alias("said"), F.size("entries").alias("n")).first()
+    assert out.n == 2 * n and out.said == "ex why\n" * n
+    assert time.time() - began < 30
+
+
+def test_numbers_that_are_no_placeholder_of_the_text(spark):
+    m = M.substituted(spark.createDataFrame([(1, "$x$ \x02MATH99999999999\x02\x02MATH2147483647\x02.")], "doc_id int, text string"))
+    made = spark.createDataFrame([("x", False, "<x/>", "ex")], "tex string, display boolean, mathml string, speech string")
+    assert M.converted(m, made).select(M.filled(F.col("text"), "speech").alias("said")).first().said == "ex ."
+
+
 def test_the_formula_queries_have_formulas(spark):
     assert catalog.QUERIES["E01_substituted"](spark, SF).agg(F.sum("n_shown"), F.sum("n")).first()[1] > 1000
 
