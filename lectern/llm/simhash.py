@@ -3,9 +3,10 @@
 A fingerprint is cut into blocks, each block into segments; the popcounts of the segments are its point. The Manhattan
 distance of two points never exceeds the Hamming distance of the fingerprints. If it is at most k over k + 2 blocks, at
 least two blocks agree in every coordinate, so the grid cell made of two blocks' coordinates is a join key: a range join
-of width zero in two blocks and of width k over all. With very many fingerprints it is three of k + 3 blocks. Within a cell the Manhattan bound goes first, the exact distance
-decides. Equal fingerprints are one node, so copies cost nothing. Cells with many nodes go through tiles of bounded size
-which give a spanning forest, not all pairs.
+of width zero in two blocks and of width k over all. With very many fingerprints it is three of k + 3 blocks. Cells follow
+each other in sorted partitions, where arrays compare whole cells at once: the Manhattan bound goes first, the exact
+distance decides. Equal fingerprints are one node, so copies cost nothing. Cells with many nodes go through tiles of
+bounded size which give a spanning forest, not all pairs.
 """
 
 from __future__ import annotations
@@ -74,50 +75,101 @@ def _coordinates(fp, block):
 
 
 def agreeing(n: int, k: int) -> int:
-    """How many blocks make a cell, so that the cells of n fingerprints stay small: two hold about 2^16 cells a key, three
-    2^21."""
-    return 2 if n <= 1 << 26 or k + 3 > 16 else 3
+    """How many blocks make a cell, so that the cells of n fingerprints stay small: two hold about 2^15 cells a key, three
+    2^19."""
+    return 2 if n <= 1 << 22 or k + 3 > 16 else 3
+
+
+def points(fp: np.ndarray, blocks: list[list[tuple[int, int]]]) -> np.ndarray:
+    """The coordinates of unsigned fingerprints: a row each, the popcounts of a block's segments packed in one number."""
+    out = np.zeros((len(fp), len(blocks)), np.uint64)
+    for i, block in enumerate(blocks):
+        for shift, width in block:
+            ones = np.bitwise_count(fp >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.uint64)
+            out[:, i] = out[:, i] << np.uint64((width + 1).bit_length()) | ones
+    return out
+
+
+def counts(fp: np.ndarray, blocks: list[list[tuple[int, int]]]) -> np.ndarray:
+    """The popcounts of whole blocks, a row for each block."""
+    masks = [sum(((1 << width) - 1) << shift for shift, width in block) for block in blocks]
+    return np.array([np.bitwise_count(fp & np.uint64(m)) for m in masks], np.int8).reshape(len(blocks), len(fp))
+
+
+def near_pairs(cell: np.ndarray, fp: np.ndarray, blocks: list[list[tuple[int, int]]], k: int, wide: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of rows of one cell at k or fewer bits. Rows of a cell follow each other. Cells of `wide` rows or more
+    are a matrix each; the others are compared all at once, each row with the one so many rows behind it."""
+    n, popcounts = len(fp), counts(fp, blocks)
+    heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[heads, n])
+    behind = np.repeat(heads + sizes, sizes) - np.arange(n) - 1  # rows of the cell that follow
+    at, found = np.flatnonzero(np.repeat(sizes, sizes) < wide), []
+    for d in range(1, wide):
+        at = at[behind[at] >= d]
+        if not len(at):
+            break
+        # bound: how far the popcounts of the blocks lie apart, in sum
+        some = at[sum((np.abs(p[at] - p[at + d]) for p in popcounts), np.zeros(len(at), np.int8)) <= k]
+        some = some[np.bitwise_count(fp[some] ^ fp[some + d]) <= k]
+        found.append((some, some + d))
+    for lo, size in zip(heads[sizes >= wide].tolist(), sizes[sizes >= wide].tolist(), strict=True):
+        own = popcounts[:, lo : lo + size]
+        for top in range(0, size, 256):  # so that a matrix has 256 rows at most
+            bound = sum((np.abs(p[top : top + 256, None] - p) for p in own), np.zeros((min(256, size - top), size), np.int8))
+            i, j = np.nonzero(bound <= k)
+            i, j = i[i + top < j] + lo + top, j[i + top < j] + lo
+            near = np.bitwise_count(fp[i] ^ fp[j]) <= k
+            found.append((i[near], j[near]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def links(nodes: DataFrame, k: int = 4, segment: int = 2, hot: int = 256, agree: int = 2) -> DataFrame:
     """nodes: fp, distinct. Edges src, dst (fingerprints) that connect all fingerprints linked at k or fewer bits.
 
-    Of k + agree blocks at least `agree` have equal points. Cells of up to `hot` nodes are joined with themselves and give
-    every link once; larger ones are cut into tiles of `hot` by `hot` nodes, every pair of nodes in one tile, each giving a
-    spanning forest of its links.
+    Of k + agree blocks at least `agree` have equal points. Cells of up to `hot` nodes give every link once; larger ones
+    are cut into tiles of `hot` by `hot` nodes, every pair of nodes in one tile, each giving a spanning forest of its links.
     """
     blocks = _blocks(k + agree, segment)
     keys = list(combinations(range(len(blocks)), agree))
     point = nodes.select("fp", *[_coordinates(F.col("fp"), b).alias(f"c{i}") for i, b in enumerate(blocks)])
-    # two points a column: what the join compares is not computed again for each pair
-    packed = [F.col(f"c{i}").bitwiseOR(F.shiftleft(f"c{i + 1}", 32)) if i + 1 < len(blocks) else F.col(f"c{i}") for i in range(0, len(blocks), 2)]
-    carried = [f"p{i}" for i in range(len(packed))]
     named = F.explode(F.array(*[F.struct(F.lit(t).alias("key"), F.xxhash64(F.lit(t), *[f"c{i}" for i in some]).alias("cell")) for t, some in enumerate(keys)]))
-    cells = point.select("fp", *[c.alias(n) for c, n in zip(packed, carried, strict=True)], named.alias("at")).select("at.cell", "at.key", "fp", *carried)
-    big = materialise(cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "cells")
-    cold = cells.join(big.select("cell"), "cell", "left_anti")
-    a, b = cold.alias("a"), cold.alias("b")
-    half = lambda i: F.lit((0xFFFFFFFF << 32) - (1 << 64) if i % 2 else 0xFFFFFFFF)
-    same = [F.col(f"a.p{i // 2}").bitwiseXOR(F.col(f"b.p{i // 2}")).bitwiseAND(half(i)) == 0 for i in range(len(blocks))]
-    bits = sum((F.when(x, 1 << i).otherwise(0) for i, x in enumerate(same)), F.lit(0))
-    # the first equal blocks name the one cell that gives the pair: none of the keys before holds only equal blocks
-    masks = F.array(*[F.lit(sum(1 << i for i in some)) for some in keys])
-    first = F.array_position(F.transform(masks, lambda m: m.bitwiseAND(F.col("equal")) == m), F.lit(True)) - 1
-    distance = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (_manhattan(blocks) <= k) & (distance <= k))
-    pairs = pairs.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"), F.col("a.key").alias("key"), bits.alias("equal"))
-    return pairs.filter(first == F.col("key")).select("src", "dst").union(_tiled(cells.select("cell", "fp"), big, k, hot))
-
-
-def _manhattan(blocks):
-    """Lower bound of the Hamming distance: how far the popcounts of the blocks lie apart, in sum."""
-    total = F.lit(0)
-    for block in blocks:
-        mask = sum(((1 << width) - 1) << shift for shift, width in block)
-        mask -= (mask >> 63) << 64
-        count = lambda side: F.bit_count(F.col(f"{side}.fp").bitwiseAND(F.lit(mask)))  # noqa: E731, B023
-        total = total + F.abs(count("a") - count("b"))
-    return total
+    cells = point.select("fp", named.alias("at")).select("at.cell", "at.key", "fp")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
+    big = materialise(sizes.filter(F.col("n") > hot), "cells")
+    cold = cells.join(big.select("cell"), "cell", "left_anti").repartition("cell").sortWithinPartitions("cell", "key")
+
+    def run(batches: Iterator[pd.DataFrame], group: int = 1 << 16) -> Iterator[pd.DataFrame]:
+        """Only the last cell of a group of rows waits for the next. The first equal blocks name the one cell that gives a pair."""
+
+        def pairs(rows: np.ndarray) -> pd.DataFrame:
+            cell, key, fp = rows.T
+            fp = fp.astype(np.int64).view(np.uint64)
+            # two keys may share a hash, so both make a cell
+            i, j = near_pairs(cell ^ (key << 56), fp, blocks, k)
+            same = points(fp[i], blocks) == points(fp[j], blocks)
+            first = np.full(len(i), -1)
+            for t, some in reversed(list(enumerate(keys))):
+                first[same[:, some].all(axis=1)] = t
+            own = first == key[i]
+            one, two = fp[i[own]].view(np.int64), fp[j[own]].view(np.int64)
+            return pd.DataFrame({"src": np.minimum(one, two), "dst": np.maximum(one, two)})
+
+        kept: list[np.ndarray] = []
+        for b in batches:
+            kept.append(b.to_numpy(np.int64))
+            if sum(map(len, kept)) < group:
+                continue
+            rows = np.concatenate(kept)
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if last:
+                yield pairs(rows[:last])
+            kept = [rows[last:]]
+        if kept:
+            yield pairs(np.concatenate(kept))
+
+    return cold.mapInPandas(run, "src bigint, dst bigint").union(_tiled(cells.select("cell", "fp"), big, k, hot))
 
 
 def _tiled(cells: DataFrame, big: DataFrame, k: int, size: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -78,3 +79,26 @@ def test_components_with_a_hub(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**dict.fromkeys(range(900), 0), 1000: 0, **dict.fromkeys(range(900, 941), 900)}
     assert components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_cells_are_compared_as_arrays():
+    """Against all pairs, with cells on both sides of the size from which a cell is a matrix; and millions of pairs a second."""
+    rng = np.random.default_rng(5)
+    blocks = simhash._blocks(6, 2)
+    cell = np.sort(np.concatenate([rng.integers(0, 200, 900), np.repeat([300, 301, 302], [24, 23, 600])]))
+    fp = rng.integers(0, 2**63, 12, dtype=np.uint64)[rng.integers(0, 12, len(cell))]
+    for _ in range(4):
+        fp ^= np.uint64(1) << rng.integers(0, 64, len(cell)).astype(np.uint64)
+    i, j = simhash.near_pairs(cell, fp, blocks, 4)
+    every = {(a, b) for b in range(len(fp)) for a in range(b) if cell[a] == cell[b] and int(fp[a] ^ fp[b]).bit_count() <= 4}
+    assert len(i) == len(every) and set(zip(i.tolist(), j.tolist(), strict=True)) == every
+    assert all(len(x) == 0 for x in simhash.near_pairs(cell[:0], fp[:0], blocks, 4))
+    cell = np.repeat(np.arange(400), 250)
+    fp = rng.integers(0, 2**63, len(cell), dtype=np.uint64)
+    began = time.process_time()
+    simhash.near_pairs(cell, fp, blocks, 4)
+    assert time.process_time() - began < 5  # 12 million pairs; a join with a condition took some 14 microseconds a pair
+
+
+def test_more_fingerprints_take_narrower_cells():
+    assert simhash.agreeing(3 << 20, 4) == 2 and simhash.agreeing(5 << 20, 4) == 3
