@@ -1,13 +1,15 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
-Shard: 8 bytes of magic, 4 of item width, 4 zero; the ids of its documents one after the other, little-endian; then the
-document ids (int64) and token counts (uint32) of its rows, and their number (uint64) as the last 8 bytes. Shards follow
-each other, with their rows in ascending doc_id order or in the order in which the rows come.
+Shard: 8 bytes of magic, 4 of item width, 4 zero; the ids of its documents one after the other, little-endian; then a
+table of its rows by document id: the document ids (int64), where each row's ids begin (uint64) and how many they are
+(uint32); and the number of rows (uint64) as the last 8 bytes. Shards follow each other, with their rows in ascending
+doc_id order or in the order in which the rows come.
 
 Index: keys are dealt to parts by hash. A part is a minimal perfect hash by hash and displace: a key's bucket gives a
 seed, the seed gives the key's slot, every slot is taken once. The slot stores a fingerprint of the key, which exposes
-foreign keys, and where the list of the key's shards begins; in a shard the document ids tell the rows. A key that a third
-of all rows hold has a list no longer than the number of shards.
+foreign keys, and where the list of the key's places begins: of each shard that holds it, the first row of the shard's
+table and how many. Nothing is searched in a shard; the document id at a place is only compared with the key. A key that a
+third of all rows hold has a list no longer than the number of shards.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Store, documents, materialise, new_path
 
-MAGIC = b"LECTTOK1"
+MAGIC = b"LECTTOK2"
 #: The characters of Latin-1 that are letters, numbers and white space, as classes.
 LETTER, NUMBER, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 NULL_KEY = -(1 << 63)
@@ -170,7 +172,7 @@ def _part(key, parts: int):
 
 
 def write(docs: DataFrame, root: str, path: str, end: int = 0, keys_per_part: int = 50_000, ordered: bool = True) -> tuple[DataFrame, dict[int, int], int]:
-    """Write shards and index under root. Returns the keys table (key, shard: one row for each key of a shard), the number of
+    """Write shards and index under root. Returns the keys table (key, shard, first, rows: one row for each key of a shard), the number of
     tokens before each shard, and the number of index parts. Text goes through one range exchange, in which rows of one
     doc_id may be parted between neighbouring shards, or, unless `ordered`, through none. A shard is written as its
     documents are encoded."""
@@ -184,21 +186,26 @@ def write(docs: DataFrame, root: str, path: str, end: int = 0, keys_per_part: in
                 for i, raw in zip(b["doc_id"], e.encode(list(b["text"])), strict=True):
                     rows.append((i, len(raw) // e.dtype.itemsize))
                     yield raw
-            yield np.array([r[0] for r in rows], "<i8").tobytes()
-            yield np.array([r[1] for r in rows], "<u4").tobytes()
+            ids, counts = np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], "<u4")
+            order = np.argsort(ids, kind="stable")
+            begins = np.cumsum(counts, dtype="<u8") - counts
+            places.append((ids[order], counts[order]))
+            yield from (x.tobytes() for x in (ids[order], begins[order], counts[order]))
             yield len(rows).to_bytes(8, "little")
 
+        places: list[tuple[np.ndarray, np.ndarray]] = []
         Store(root).write(f"shard-{k:06d}", pieces())
         if rows:
-            found = pd.DataFrame(rows, columns=["key", "n_tokens"]).groupby("key", as_index=False)["n_tokens"].agg(["sum", "size"])
-            yield pd.DataFrame({"key": found["key"], "shard": k, "rows": found["size"], "n_tokens": found["sum"]})
+            ids, counts = places[0]
+            key, first, n = np.unique(ids, return_index=True, return_counts=True)
+            yield pd.DataFrame({"key": key, "shard": k, "first": first, "rows": n, "n_tokens": np.add.reduceat(counts.astype(np.int64), first)})
 
     dealt = documents(docs).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_KEY)).alias("doc_id"), "text")
     if ordered:
         # the second key parts rows that share an id (null, above all), also those with equal texts
         dealt = dealt.withColumn("apart", F.xxhash64("text", F.spark_partition_id()))
         dealt = dealt.repartitionByRange("doc_id", "apart").sortWithinPartitions("doc_id", "apart").select("doc_id", "text")
-    keys = materialise(dealt.mapInPandas(shard, "key bigint, shard int, rows bigint, n_tokens bigint"), "token-keys")
+    keys = materialise(dealt.mapInPandas(shard, "key bigint, shard int, first bigint, rows bigint, n_tokens bigint"), "token-keys")
     totals = keys.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("keys")).orderBy("shard").collect()  # a row for each file
     starts, before = {}, 0
     for t in totals:
@@ -213,17 +220,18 @@ def write(docs: DataFrame, root: str, path: str, end: int = 0, keys_per_part: in
         table = np.zeros((2, len(k)), np.int64)
         table[:, slots] = np.array([first, n])
         out = io.BytesIO()
-        np.savez(out, seeds=perfect.seeds, prints=perfect.prints, table=table, shards=g["shard"].to_numpy(np.int32))
+        np.savez(out, seeds=perfect.seeds, prints=perfect.prints, table=table, shards=g["shard"].to_numpy(np.int32), places=g[["first", "rows"]].to_numpy(np.int64))
         Store(root).write(f"index-{int(g['part'].iloc[0]):06d}", [out.getbuffer()])
         return pd.DataFrame({"part": g["part"].iloc[:1], "n": len(k)})
 
-    keys.select(_part("key", parts).alias("part"), "key", "shard").groupBy("part").applyInPandas(index, "part int, n bigint").agg(F.sum("n")).collect()
+    keys.select(_part("key", parts).alias("part"), "key", "shard", "first", "rows").groupBy("part").applyInPandas(index, "part int, n bigint").agg(F.sum("n")).collect()
     return keys, starts, parts
 
 
 def read(keys: DataFrame, root: str, starts: dict[int, int], parts: int) -> DataFrame:
-    """Look up each key (column key) in the index and read its ids from the shards: doc_id, start, n_tokens, ids_crc32,
-    shard. Keys that are not there give no rows, also those that share a fingerprint with one that is: the shard decides."""
+    """Look up each key (column key) in the index and read its ids at the places that it gives: doc_id, start, n_tokens,
+    ids_crc32, shard. Keys that are not there give no rows, also those that share a fingerprint with one that is: the
+    document id at the place is another."""
 
     def find(g: pd.DataFrame) -> pd.DataFrame:
         with Store(root).open(f"index-{int(g['part'].iloc[0]):06d}") as f:
@@ -232,7 +240,7 @@ def read(keys: DataFrame, root: str, starts: dict[int, int], parts: int) -> Data
         slots = PerfectHash(index["seeds"], index["prints"]).slots(key.view(np.uint64))
         key, (first, n) = key[slots >= 0], index["table"][:, slots[slots >= 0]]
         at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else first, n) + np.arange(n.sum())
-        return pd.DataFrame({"key": np.repeat(key, n), "shard": index["shards"][at]})
+        return pd.DataFrame({"key": np.repeat(key, n), "shard": index["shards"][at], "first": index["places"][at, 0], "rows": index["places"][at, 1]})
 
     def fetch(g: pd.DataFrame) -> pd.DataFrame:
         shard, out = int(g["shard"].iloc[0]), []
@@ -243,19 +251,21 @@ def read(keys: DataFrame, root: str, starts: dict[int, int], parts: int) -> Data
             width = int.from_bytes(f.read(4), "little")
             f.seek(size - 8)
             n = int.from_bytes(f.read(8), "little")
-            f.seek(size - 8 - 12 * n)
-            ids, counts = np.frombuffer(f.read(8 * n), "<i8"), np.frombuffer(f.read(4 * n), "<u4").astype(np.int64)
-            offsets = np.concatenate(([0], np.cumsum(counts)))
-            for r in np.flatnonzero(np.isin(ids, g["key"].to_numpy(np.int64))).tolist():
-                f.seek(16 + width * int(offsets[r]))
+            f.seek(size - 8 - 20 * n)
+            ids, begins, counts = np.frombuffer(f.read(8 * n), "<i8"), np.frombuffer(f.read(8 * n), "<u8"), np.frombuffer(f.read(4 * n), "<u4")
+            many = g["rows"].to_numpy(np.int64)
+            at = np.repeat(g["first"].to_numpy(np.int64) - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            at = at[ids[at] == np.repeat(g["key"].to_numpy(np.int64), many)]
+            for r in at[np.argsort(begins[at])].tolist():  # in the order of the file
+                f.seek(16 + width * int(begins[r]))
                 raw = np.frombuffer(f.read(width * int(counts[r])), f"<u{width}")
-                out.append((None if ids[r] == NULL_KEY else int(ids[r]), starts[shard] + int(offsets[r]), int(counts[r]), zlib.crc32(raw.astype("<u4").tobytes()), shard))
+                out.append((None if ids[r] == NULL_KEY else int(ids[r]), starts[shard] + int(begins[r]), int(counts[r]), zlib.crc32(raw.astype("<u4").tobytes()), shard))
         own = pd.array([r[0] for r in out], "Int64")  # not through floats, which round large ids
         rest = pd.DataFrame([r[1:] for r in out], columns=["start", "n_tokens", "ids_crc32", "shard"])
         rest.insert(0, "doc_id", own)
         return rest
 
-    at = keys.select("key").distinct().withColumn("part", _part("key", parts)).groupBy("part").applyInPandas(find, "key bigint, shard int")
+    at = keys.select("key").distinct().withColumn("part", _part("key", parts)).groupBy("part").applyInPandas(find, "key bigint, shard int, first bigint, rows bigint")
     return at.groupBy("shard").applyInPandas(fetch, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int")
 
 

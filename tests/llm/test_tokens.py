@@ -154,3 +154,21 @@ def test_a_foreign_key_with_a_known_fingerprint(spark):
     Store(root).write("index-000000", [out.getbuffer()])
     assert (PerfectHash(index["seeds"], index["prints"]).slots(np.array([77], np.uint64)) == 0).all()
     assert read(spark.createDataFrame([(77,)], "key long"), root, starts, parts).count() == 0
+
+
+def test_the_index_gives_the_rows_and_nothing_is_searched(spark):
+    """A place that is moved in the index is read where it points: the row there has another id, so it is not taken."""
+    docs = spark.createDataFrame([(5, "five"), (3, "three"), (3, "again"), (9, "nine")], "doc_id long, text string").coalesce(1)
+    root = new_path(spark, "tokens")
+    keys, starts, parts = write(docs, root, BYTE, ordered=False)
+    assert sorted((r.key, r.first, r.rows) for r in keys.collect()) == [(3, 0, 2), (5, 2, 1), (9, 3, 1)]
+    got = read(keys, root, starts, parts).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [5, 3, 3, 9]
+    with Store(root).open("index-000000") as f:
+        index = dict(np.load(io.BytesIO(f.read())))
+    moved = index["places"].copy()
+    moved[np.argsort(moved[:, 0])[:1], 1] = 1  # the key with two rows
+    out = io.BytesIO()
+    np.savez(out, **(index | {"places": moved}))
+    Store(root).write("index-000000", [out.getbuffer()])
+    assert sorted(r.doc_id for r in read(keys, root, starts, parts).collect()) == [3, 5, 9]
