@@ -23,6 +23,8 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (similarity 0.8 or more over five-word shingles) one row stays, that with the least id.
+    Candidates are the links of the SimHash grid of segment popcounts and, beyond its 4 bits, texts that share a band of
+    min-hashes; the sets of shingles decide about both.
 
     Groups are of texts, not of ids: rows that share a doc_id but not their text, or have none, are judged by their texts."""
     table(spark, sf_dir, "documents")

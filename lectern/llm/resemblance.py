@@ -1,6 +1,8 @@
 """Near-duplicates by resemblance: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of 40 bands of five min-hashes: of pairs at 0.8, 1.2 in 10^7 share none, of those above fewer. A
+Candidates come by two ways. Closest copies: SimHash fingerprints of the same shingles, linked at 4 or fewer bits by the
+grid of segment popcounts (simhash.links). All others, up to the 16 bits and more of a pair at 0.8, which no such grid can
+carry: they share one of 40 bands of five min-hashes; of pairs at 0.8, 1.2 in 10^7 share none, of those above fewer. A
 sketch of one bit a min-hash and the sizes of the sets go before the texts are fetched; the sets themselves decide.
 
 Equal texts are one node, so copies cost nothing. In each band's cell neighbours are compared first, which joins the
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialise
 from .components import components
 
@@ -31,16 +34,29 @@ _ODD = _RNG.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 _MIX = _RNG.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(raw: bytes, shingle: int) -> np.ndarray:
-    """Hashes of the distinct shingles, in order; the words are those of simhash.fingerprints_of. A text of fewer words
-    is one shingle, one without words has none."""
+def hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the shingles as they follow, repeats included; the words are those of simhash.fingerprints_of. A text of
+    fewer words is one shingle, one without words has none."""
     import xxhash
 
     digest, words = xxhash.xxh64_intdigest, raw.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
-    return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)], dtype=np.uint64))
+    return np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)], dtype=np.uint64)
+
+
+def shingles(raw: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles, in order."""
+    return np.unique(hashes(raw, shingle))
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a text by the hashes of its shingles, as simhash.fingerprints_of gives it, as a signed number."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
 
 
 def signature(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,13 +165,15 @@ def _tiled(members: DataFrame, rows: DataFrame, best: DataFrame, shingle: int, l
 
 
 def _signed(rows: DataFrame, shingle: int) -> DataFrame:
-    """node, row, doc_id, n (shingles), s0.. (sketch), cells for every row."""
+    """node, row, doc_id, n (distinct shingles), fp (SimHash), s0.. (sketch), cells for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, cells, bits = [], [], []
+            n, fp, cells, bits = [], [], [], []
             for raw in b.column("raw"):
-                h = shingles(raw.as_py(), shingle)
+                h = hashes(raw.as_py(), shingle)
+                fp.append(fingerprint(h))
+                h = np.unique(h)
                 c, s = signature(h)
                 n.append(len(h))
                 cells.append(c)
@@ -163,11 +181,11 @@ def _signed(rows: DataFrame, shingle: int) -> DataFrame:
             bits = np.array(bits, np.int64).reshape(-1, SKETCH)
             sketch = {f"s{i}": pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)}
             kept = {x: b.column(x) for x in ("node", "row", "doc_id")}
-            yield pa.RecordBatch.from_pydict(kept | {"n": pa.array(n, pa.int64())} | sketch | {"cells": pa.array(cells, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict(kept | {"n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.int64())} | sketch | {"cells": pa.array(cells, pa.list_(pa.int64()))})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("node", "row", "doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(
-        run, f"node string, row bigint, doc_id {kind}, n bigint, {', '.join(f's{i} bigint' for i in range(SKETCH))}, cells array<bigint>")
+        run, f"node string, row bigint, doc_id {kind}, n bigint, fp bigint, {', '.join(f's{i} bigint' for i in range(SKETCH))}, cells array<bigint>")
 
 
 def _near(a: str, b: str, least: float):
@@ -177,6 +195,18 @@ def _near(a: str, b: str, least: float):
     return (F.least(one("n"), two("n")) >= F.greatest(one("n"), two("n")) * (least - 1e-9)) & (apart <= APART)
 
 
+def _close(nodes: DataFrame, k: int = 4) -> DataFrame:
+    """src, dst: nodes whose fingerprints the grid of segment popcounts links at k or fewer bits; of nodes that share a
+    fingerprint each with the least, which stands for it."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    grid = simhash.links(least.select("fp"), k, agree=simhash.agreeing(least.count(), k))
+    side = lambda c: least.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}"))
+    pairs = grid.join(side("src"), "src").join(side("dst"), "dst").select("node_src", "node_dst")
+    same = nodes.select("fp", F.col("node").alias("other")).join(least, "fp").filter(F.col("node") != F.col("other")).select("node", "other")
+    pairs = pairs.union(same).toDF("src", "dst")
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, best: DataFrame, shingle: int, least: float, name: str) -> DataFrame:
     """Of pairs src, dst those whose texts are similar."""
     pairs = materialise(pairs, f"{name}-pairs")
@@ -209,7 +239,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int =
     signed = materialise(_signed(plain, shingle), "signatures")
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     facts = ["n", *[f"s{i}" for i in range(SKETCH)]]
-    nodes = materialise(signed.groupBy("node").agg(order, *[F.first(c).alias(c) for c in [*facts, "cells"]]), "nodes")
+    nodes = materialise(signed.groupBy("node").agg(order, *[F.first(c).alias(c) for c in [*facts, "fp", "cells"]]), "nodes")
     best = nodes.select("node", "best", F.col("best.row").alias("row"))
 
     cells = nodes.select("node", *facts, F.explode("cells").alias("cell"))
@@ -217,7 +247,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int =
     members = materialise(cells.join(shared, "cell"), "members")
     line = Window.partitionBy("cell").orderBy("node")
     beside = members.select(F.struct("node", *facts).alias("a"), F.lag(F.struct("node", *facts)).over(line).alias("b"))
-    chain = beside.filter(F.col("b").isNotNull()).filter(_near("a", "b", least)).select(F.col("b.node").alias("src"), F.col("a.node").alias("dst")).distinct()
+    chain = beside.filter(F.col("b").isNotNull()).filter(_near("a", "b", least)).select(F.col("b.node").alias("src"), F.col("a.node").alias("dst"))
+    chain = materialise(chain.union(_close(nodes)).distinct(), "candidates")  # used twice
     links = _verified(chain, plain, best, shingle, least, "beside")
 
     found = components(links)

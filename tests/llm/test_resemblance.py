@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from lectern.llm import resemblance
+from lectern.llm import resemblance, simhash
 from lectern.llm.common import table
 
 
@@ -118,3 +118,23 @@ def test_crowded_cells_keep_the_groups_of_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for crowd, tile in ((4, 16), (0, 500), (64, 256), (10**6, 1)):
         assert sorted(r.doc_id for r in resemblance.keep_one(docs, crowd=crowd, tile=tile).collect()) == sorted(want.values())
+
+
+def test_the_stage_goes_by_simhash_and_the_sets_decide(spark, monkeypatch):
+    """Fingerprints are the operator's; its grid's links alone join close copies, and a link below 0.8 joins nothing."""
+    rng = random.Random(16)
+    words = rng.choices([f"w{i}" for i in range(900)], k=900)
+    texts = ["", "one", "a b c d", "A  b c D e", " ".join(words), " ".join([*words[:-1], "end"])]
+    for x in texts:
+        assert resemblance.fingerprint(resemblance.hashes(x.encode(), 5)) == int(simhash.fingerprints_of([x.encode()], 5).view(np.int64)[0])
+    docs = spark.createDataFrame(list(enumerate([*texts, "far " * 3])), "doc_id long, text string")
+    real, asked = simhash.links, []
+
+    def links(nodes, k, *a, **b):
+        asked.append((k, nodes.count()))
+        return real(nodes, k, *a, **b).union(nodes.selectExpr("min(fp) AS src", "max(fp) AS dst"))  # a link of texts that are not alike
+
+    monkeypatch.setattr(simhash, "links", links)
+    monkeypatch.setattr(resemblance, "_near", lambda a, b, least: resemblance.F.lit(False))  # without min-hash candidates
+    assert sorted(r.doc_id for r in resemblance.keep_one(docs).collect()) == [0, 1, 2, 3, 4, 6]
+    assert asked == [(4, 7)]
