@@ -13,6 +13,7 @@ members in one tile; a tile counts what the sets share and gives a spanning fore
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import materialise
+from .common import Store, materialise, new_path
 from .components import components
 
 SEED, ROWS, BANDS = 42, 5, 40
@@ -126,9 +127,26 @@ def forest(left: list[tuple], right: list[tuple], least: float) -> list[tuple]:
     return out
 
 
+def packed(rows: list[tuple]) -> bytes:
+    """Rows of node, component, hashes of distinct shingles; what sets share is written once."""
+    of, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for _, _, x in rows)]), return_inverse=True)
+    out = io.BytesIO()
+    np.savez_compressed(out, node=np.array([x for x, _, _ in rows]), component=np.array([x for _, x, _ in rows]), ends=np.cumsum([len(x) for _, _, x in rows]), of=of, at=at.astype(np.uint32))
+    return out.getvalue()
+
+
+def unpacked(raw: bytes) -> list[tuple]:
+    with np.load(io.BytesIO(raw)) as x:
+        sets = np.split(x["of"][x["at"]], x["ends"][:-1])
+        return list(zip(x["node"].tolist(), x["component"].tolist(), sets, strict=True))
+
+
 def _tiled(members: DataFrame, rows: DataFrame, best: DataFrame, shingle: int, least: float, tile: int, weight: int = 1 << 20) -> DataFrame:
-    """src, dst: links between components inside cells. members: cell, node, component, and the cell's count of members
-    (total) and of shingles (weight). A cell is dealt by a hash into parts of about `tile` members and `weight` shingles."""
+    """src, dst: links between components inside cells. members: cell, node, component, whether that is the cell's largest
+    (main), and how many members and shingles those inside it or outside have (total, weight). Either side of a cell is dealt
+    by a hash into blocks of about `tile` members and `weight` shingles. A block is a file in the shared folder, so a cell's
+    sets are written once, however many tiles read them. A tile is a pair of blocks, unless both are of the main component."""
+    spark = members.sparkSession
     members = materialise(members, "crowded")
     needed = members.select("node").distinct().join(best.select("node", "row"), "node")
     texts = rows.select("node", "row", "text").join(needed, ["node", "row"], "left_semi").dropDuplicates(["node", "row"])
@@ -139,28 +157,50 @@ def _tiled(members: DataFrame, rows: DataFrame, best: DataFrame, shingle: int, l
             yield pa.RecordBatch.from_pydict({"node": b.column("node"), "held": pa.array(held, pa.binary())})
 
     held = materialise(texts.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(sets, "node string, held binary"), "crowded-sets")
-    parts = F.greatest(F.ceil(F.col("total") / tile), F.ceil(F.col("weight") / weight), F.lit(1)).cast("int")
-    dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("lo"), F.greatest(q, F.col("part")).alias("hi")))
-    tiles = dealt.join(held, "node").select("cell", F.explode(pair).alias("tile"), "part", "node", "component", "held")
+    parts = F.greatest(F.ceil(F.col("total") / tile), F.ceil(F.col("weight") / weight), F.lit(1))
+    dealt = members.select("cell", "main", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "component").join(held, "node")
+    store = Store(new_path(spark, "crowded-blocks"))
+    key = ["cell", "main", "part"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, ([], [])
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
 
-        def links() -> pa.RecordBatch:
-            # a tile of two parts of which one is empty has nothing to compare
-            found = forest(own[0], own[1], least) if own[0] and (own[1] or key[1] == key[2]) else []
-            return pa.RecordBatch.from_pydict({"src": pa.array([x for x, _ in found], pa.string()), "dst": pa.array([y for _, y in found], pa.string())})
+        def block() -> pa.RecordBatch:
+            if own:
+                store.write("{}-{:d}-{}".format(*now), [packed(own)])
+            x = [now] if own else []
+            return pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in x], t) for i, (k, t) in enumerate(zip(key, (pa.int64(), pa.bool_(), pa.int32()), strict=True))})
 
         for b in batches:
-            for cell, lo, hi, part, node, component, raw in zip(*(b.column(x).to_pylist() for x in ("cell", "lo", "hi", "part", "node", "component", "held")), strict=True):
-                if (cell, lo, hi) != key:
-                    yield links()
-                    key, own = (cell, lo, hi), ([], [])
-                own[part != lo].append((node, component, np.frombuffer(raw, "<u8")))
-        yield links()
-
-    tiles = tiles.select("cell", "tile.lo", "tile.hi", "part", "node", "component", "held").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+            for *at, node, component, raw in zip(*(b.column(x).to_pylist() for x in [*key, "node", "component", "held"]), strict=True):
+                if at != now:
+                    yield block()
+                    now, own = at, []
+                own.append((node, component, np.frombuffer(raw, "<u8")))
+        yield block()
+
+    dealt = dealt.select(*key, "node", "component", "held").repartition(*key).sortWithinPartitions(*key)
+    blocks = materialise(dealt.mapInArrow(write, "cell bigint, main boolean, part int"), "crowded-blocks")
+    a, b = (blocks.select("cell", F.struct("main", "part").alias(x)) for x in ("lo", "hi"))
+    tiles = a.join(b, "cell").filter((F.col("lo") <= F.col("hi")) & ~(F.col("lo.main") & F.col("hi.main")))
+    tiles = materialise(tiles.select("cell", F.col("lo.main").alias("a"), F.col("lo.part").alias("p"), F.col("hi.main").alias("b"), F.col("hi.part").alias("q")), "crowded-tiles")
+    names = tiles.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(2)
+        def read(name: str) -> list[tuple]:
+            with store.open(name) as f:
+                return unpacked(f.read())
+
+        for batch in batches:
+            for cell, a, p, b, q in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+                one, two = f"{cell}-{a:d}-{p}", f"{cell}-{b:d}-{q}"
+                found = forest(read(one), read(two) if one != two else [], least)
+                yield pa.RecordBatch.from_pydict({"src": pa.array([x for x, _ in found], pa.string()), "dst": pa.array([y for _, y in found], pa.string())})
+
+    # rows of tiles are short, so their number and not their bytes says how many tasks they make
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tiles.count() // 64)
+    tiles = tiles.repartition(tasks, *names).sortWithinPartitions(*names)
     return materialise(tiles.mapInArrow(run, "src string, dst string"), "crowded-links")
 
 
@@ -255,14 +295,16 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, crowd: int =
     placed = members.join(found.select(F.col("node").alias("at"), "component"), F.col("node") == F.col("at"), "left").drop("at")
     placed = materialise(placed.withColumn("component", F.coalesce("component", "node")), "placed")
     sizes = placed.groupBy("cell", "component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
-    open_ = sizes.groupBy("cell").agg(F.count("*").alias("groups"), F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("total"), F.sum("weight").alias("weight")).filter("groups > 1")
-    open_ = materialise(open_.select("cell", F.col("main.component").alias("main"), "total", "weight"), "open")
+    open_ = sizes.groupBy("cell").agg(F.count("*").alias("groups"), F.max(F.struct("size", "component", "weight")).alias("main"), F.sum("size").alias("total"), F.sum("weight").alias("weight")).filter("groups > 1")
+    open_ = materialise(open_.select("cell", F.col("main.component").alias("main"), "main.size", F.col("main.weight").alias("own"), "total", "weight"), "open")
     # members outside a cell's largest group against all: a group that is linked already is not paired with itself
     others = placed.join(open_.filter(F.col("total") <= crowd), "cell").filter(F.col("component") != F.col("main"))
     a, b = others.alias("a"), placed.alias("b")
     across = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") != F.col("b.component")) & _near("a", "b", least))
     across = across.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct().join(chain, ["src", "dst"], "left_anti")
-    crowded = placed.join(open_.filter(F.col("total") > crowd), "cell").select("cell", "node", "component", "total", "weight")
+    crowded = placed.join(open_.filter(F.col("total") > crowd), "cell").withColumn("main", F.col("component") == F.col("main"))
+    inside = lambda own, of: F.when(F.col("main"), F.col(own)).otherwise(F.col(of) - F.col(own)).alias(of)
+    crowded = crowded.select("cell", "node", "component", "main", inside("size", "total"), inside("own", "weight"))
     links = links.union(_tiled(crowded, plain, best, shingle, least, tile))
     links = links.union(_verified(across, plain, best, shingle, least, "across"))
 
